@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filigraph.llm import exact_dedup, ogg, simhash, toxicity, warc
-from filigraph.llm.shared import documents
+from filigraph.llm import exact_dedup, mixing, ogg, pieces, pii, secrets, simhash, token_counts, toxicity, warc
+from filigraph.llm.shared import documents, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,25 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that no earlier run does this one's work."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.count_tokens(documents(spark, sf_dir), path, new_path(spark, "token_cache"), limit=1024)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.synthetic_findings(spark))
+    return secrets.scan(documents(spark, sf_dir), model, path_col="source")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -33,8 +52,16 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.ogg_features(documents(spark, sf_dir))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key here is for tests; a real one comes from the caller."""
+    return pii.pseudonymise(documents(spark, sf_dir), key="demonstration key")
+
+
+QUERIES = (op1_simhash, op2_warc, op3_exact_dedup, op4_token_counts, op5_mixing, op6_secrets, op7_pieces, op8_toxicity, op9_ogg, op10_pii)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_warc, op3_exact_dedup, op8_toxicity, op9_ogg)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
