@@ -17,6 +17,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,13 @@ class Model:
         out = list(map(seen.__getitem__, words))
         if len(seen) > 200_000:
             seen.clear()
+        if out and max(out) > 0:  # a word that is repeated is no new evidence
+            met: set[str] = set()
+            for i, word in enumerate(words):
+                if out[i] > 0:
+                    if word in met:
+                        out[i] = self.drift
+                    met.add(word)
         return out
 
     def evidence(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
@@ -95,6 +103,14 @@ def _tokens(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
 
 
+def _sketch(text: str) -> tuple[int, int]:
+    """Two minima over the hashes of a text's three-word runs."""
+    words = text.split() or [""]
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    low = [min(xxhash.xxh64_intdigest(r, seed) for r in runs) for seed in (1, 2)]
+    return low[0] >> 1, low[1] >> 1
+
+
 def _counts(sample: DataFrame) -> DataFrame:
     """(token, toxic, clean): in how many texts of each class a token is."""
 
@@ -117,30 +133,43 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(counts: DataFrame, toxic_texts: int, clean_texts: int, prior: float, min_z: float, max_tokens: int) -> list:
-    """Rows (token, weight) of the tokens whose log-odds lie ``min_z`` deviations from zero, the surest first.
+def log_odds(counts: DataFrame, toxic_texts: int, clean_texts: int, prior_share: float, caution: float, max_tokens: int) -> dict[str, float]:
+    """(token, weight) of the tokens whose log-odds are sure, at most ``max_tokens``, the surest first.
 
-    The prior of a token is ``prior`` texts in each class, dealt by its share of all texts. A
-    weight is the log-odds less one deviation, so that few observations give little weight.
+    The prior counts as ``prior_share`` of all texts in each class, dealt to tokens by their share of the
+    texts. Among V tokens without any bearing the largest deviation is about sqrt(2 ln V); a token must lie
+    ``caution`` times as far from zero. A weight is the log-odds less one deviation. A word's beginning
+    only counts if no single word makes up most of its texts. Odds of less than two to one say nothing.
     """
+    known = cut(counts.where(F.col("toxic") + F.col("clean") >= 3), "token_counts")
+    min_z = caution * math.sqrt(2 * math.log(max(2, known.count())))
+    prior = prior_share * (toxic_texts + clean_texts)
     share = (F.col("toxic") + F.col("clean")) / F.lit(float(toxic_texts + clean_texts))
     a, b = F.col("toxic") + F.lit(prior) * share, F.col("clean") + F.lit(prior) * share
     of = lambda x, n: F.log(x / (F.lit(n + prior) - x + F.lit(1.0)))
-    scored = counts.where(F.col("toxic") + F.col("clean") >= 2).select(
-        "token", (of(a, float(toxic_texts)) - of(b, float(clean_texts))).alias("delta"), F.sqrt(1 / a + 1 / b).alias("sd")
-    )
+    delta = of(a, float(toxic_texts)) - of(b, float(clean_texts))
+    texts = F.greatest("toxic", "clean").alias("texts")
+    scored = known.select("token", delta.alias("delta"), F.sqrt(1 / a + 1 / b).alias("sd"), texts)
     weight = F.col("delta") - F.signum("delta") * F.col("sd")
-    sure = scored.where(F.abs("delta") >= min_z * F.col("sd")).select(
-        "token", weight.alias("weight"), F.abs(F.col("delta") / F.col("sd")).alias("z")
+    sure = scored.where((F.abs("delta") >= min_z * F.col("sd")) & (F.abs(weight) >= math.log(2))).select(
+        "token", weight.alias("weight"), "texts", F.abs(F.col("delta") / F.col("sd")).alias("z")
     )
-    return sure.orderBy(F.desc("z"), "token").limit(max_tokens).collect()
+    rows = sure.orderBy(F.desc("z"), "token").limit(max_tokens).collect()
+    best: dict[str, int] = {}
+    for r in rows:
+        for n in PREFIXES:
+            if len(r["token"]) > n and not r["token"].endswith("*"):
+                best[f"{r['token'][:n]}*"] = max(r["texts"], best.get(f"{r['token'][:n]}*", 0))
+    return {r["token"]: float(r["weight"]) for r in rows if best.get(r["token"], 0) < 0.7 * r["texts"]}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per_class: int) -> DataFrame:
-    """(doc_id, text, label, fold) of at most ``rows_per_class`` labelled rows of each class, and of each text one row.
+    """(text, label, fold) of at most ``rows_per_class`` labelled rows of each class, and of most groups of near copies one row.
 
     The rows come by the order of a hash of their ids. Only these ids are broadcast (16 bytes a row).
-    Null ids or labels are not taken.
+    Rows that share one of two minima over the hashes of three-word runs count as copies, since
+    words of one text that was copied often would else look typical of its label. Null ids or
+    labels are not taken.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).select(
         "doc_id", F.col(label_col).cast("int").alias("label")
@@ -150,26 +179,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows_per
     ids = F.broadcast(taken[0].unionByName(taken[1]))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(ids, "doc_id")
     rows = rows.withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5)
-    return rows.groupBy(F.xxhash64("text").alias("digest")).agg(F.min_by(F.struct("text", "label", "fold"), "doc_id").alias("row")).select("row.*")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [_sketch(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1)]], [*batch.schema.names, "m0", "m1"])
+
+    rows = rows.select("doc_id", "text", "label", "fold")
+    rows = rows.mapInArrow(sketched, "doc_id long, text string, label int, fold long, m0 long, m1 long")
+    for mark in ("m0", "m1"):
+        rows = rows.groupBy(mark).agg(F.min_by(F.struct(*[c for c in rows.columns if c != mark]), "doc_id").alias("row")).select(mark, "row.*")
+    return rows.select("text", "label", "fold")
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a light ridge."""
+    """Slope and offset of a logistic curve, by Newton steps with a light ridge. A class weighs the root of its size."""
     design, beta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, -1.0])
-    for _ in range(50):
+    weight = np.where(y > 0, 1 / np.sqrt(max(1.0, y.sum())), 1 / np.sqrt(max(1.0, (1 - y).sum())))
+    weight /= weight.sum()
+
+    def loss(beta: np.ndarray) -> float:
+        z = design @ beta
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * beta @ beta)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (y - p) - ridge * len(y) * beta
-        hess = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + ridge * len(y) * np.eye(2)
+        grad = design.T @ (weight * (y - p)) - ridge * beta
+        hess = (design * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ design + ridge * np.eye(2)
         step = np.linalg.solve(hess, grad)
-        beta = beta + np.clip(step, -5, 5)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
     return float(beta[0]), float(beta[1])
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows_per_class: int = 20_000, prior: float = 2.0,
-    min_z: float = 2.5, max_tokens: int = 50_000, drift: float = -0.02,
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows_per_class: int = 20_000, prior_share: float = 0.05,
+    caution: float = 0.8, max_tokens: int = 50_000, drift: float = -0.01,
 ) -> Model:
     """Fits tokens, extreme-value law and calibration on a bounded sample of labelled rows.
 
@@ -184,32 +232,38 @@ def train(
     if not toxic or not clean:
         ones, all_rows = toxic + sizes.get((True, 1), 0), sum(sizes.values())
         return Model({}, drift, slope=0.0, offset=math.log((ones + 0.5) / (all_rows - ones + 0.5)))
-    rows = log_odds(_counts(sample.where(~held)), toxic, clean, prior, min_z, max_tokens)
-    model = Model({r["token"]: float(r["weight"]) for r in rows if abs(r["weight"]) > 1e-9}, drift)
+    model = Model(log_odds(_counts(sample.where(~held)), toxic, clean, prior_share, caution, max_tokens), drift)
 
-    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text: its label, length, best segment and number of words with a positive weight."""
+    def ups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many words of the texts score which positive amount (in tenths), and under 0 all words."""
         for batch in batches:
-            out = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts: dict[int, int] = {0: 0}
+            for text in batch.column(0).to_pylist():
                 scores = model.scores(WORD.findall(text.lower()))
-                up = [s for s in scores if s > 0]
-                best = max((s for s, _, _ in segments(scores)), default=0.0) if up else 0.0
-                out.append((label, len(scores), best, len(up), sum(up)))
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["label", "n", "best", "ups", "up_sum"])
+                counts[0] += len(scores)
+                for s in scores:
+                    if s > 0:
+                        counts[max(1, round(10 * s))] = counts.get(max(1, round(10 * s)), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["tenths", "n"])
+
+    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's number of words and best segment."""
+        for batch in batches:
+            scored = [model.scores(WORD.findall(t.lower())) for t in batch.column(0).to_pylist()]
+            best = [max((s for s, _, _ in segments(x)), default=0.0) for x in scored]
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in scored], pa.int64()), pa.array(best, pa.float64())], ["n", "best"])
 
     check = sample.where(held) if sizes.get((True, 1), 0) and sizes.get((True, 0), 0) else sample
-    clean_part = check.where(F.col("label") == 0).select("text", "label").mapInArrow(
-        maxima, "label int, n long, best double, ups long, up_sum double"
-    )
-    seen = clean_part.where(F.col("n") > 0).toPandas()  # at most rows_per_class rows of five numbers
-    words = max(1, int(seen["n"].sum()))
-    share = max(float(seen["ups"].sum()), 0.5) / words
-    up = float(seen["up_sum"].sum() / seen["ups"].sum()) if seen["ups"].sum() else 1.0
-    model.rate = _decay(share, up, drift)
-    model.ln_k = math.log(max(1, len(seen)) / max(1e-300, float((seen["n"] * np.exp(-model.rate * seen["best"])).sum())) if len(seen) else 1.0)
+    texts = check.where(F.col("label") == 0).select("text")
+    histogram = {r["tenths"]: r["n"] for r in texts.mapInArrow(ups, "tenths int, n long").groupBy("tenths").agg(F.sum("n").alias("n")).collect()}
+    words = max(1, histogram.pop(0, 1))
+    shares = {t / 10: n / words for t, n in histogram.items()} or {max([0.1, *model.weights.values()]): 0.5 / words}
+    model.drift = min(drift, -2 * sum(s * p for s, p in shares.items()))  # a clean text must fall on the whole
+    model._seen.clear()
+    model.rate = _decay(shares, model.drift)
+    seen = texts.mapInArrow(maxima, "n long, best double").where("n > 0").toPandas()  # at most rows_per_class pairs of numbers
+    if len(seen):
+        model.ln_k = math.log(len(seen) / float((seen["n"] * np.exp(-model.rate * seen["best"])).sum()))
 
     def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,16 +278,17 @@ def train(
     return model
 
 
-def _decay(share: float, up: float, drift: float) -> float:
+def _decay(shares: dict[float, float], drift: float) -> float:
     """The rate at which maxima in clean texts get rarer: the positive root of E[exp(rate * score)] = 1."""
-    value = lambda x: share * math.exp(min(700.0, x * up)) + (1 - share) * math.exp(x * drift) - 1
+    rest = 1 - sum(shares.values())
+    value = lambda x: sum(p * math.exp(min(600.0, x * s)) for s, p in shares.items()) + rest * math.exp(x * drift) - 1
     low, high = 0.0, 1e-3
-    while value(high) < 0 and high < 1e3:
+    while value(high) < 0:
         low, high = high, high * 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if value(mid) < 0 else (low, mid)
-    return max(high, 1e-2)
+    return high
 
 
 def score(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
