@@ -80,8 +80,11 @@ def _duel(seed: int):
 
 
 def _level(open_rows: DataFrame, seed: int) -> DataFrame:
-    """(source_id, block, left): every block folded; ``left`` has the open document and those that are done."""
-    item = F.struct(F.xxhash64(F.lit(seed), "doc_id", "size").alias("turn"), "doc_id", "size", "p")
+    """(source_id, block, left): every block folded; ``left`` has the open document and those that are done.
+
+    Large documents meet first, so that what stays open in the end tends to be small.
+    """
+    item = F.struct((-F.col("size")).alias("turn"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("tie"), "doc_id", "size", "p")
     rows = open_rows.groupBy("source_id", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
     first = F.col("items")[0]
     start = F.struct(first["doc_id"].alias("doc_id"), first["size"].alias("size"), first["p"].alias("p"), F.array().cast(_DONE).alias("done"))
