@@ -1 +1 @@
-
+"""filigraph: document and graph intelligence as Spark plans."""
