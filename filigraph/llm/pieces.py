@@ -8,10 +8,12 @@ checked against the sentencepiece library before its result is used.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ _NORMAL, _UNUSED, _BYTE, _CONTROL = 1, 5, 6, 3
 class PieceModel:
     """A merge-type vocabulary with byte fallback and the identity normaliser."""
 
-    def __init__(self, path: str, cache_units: int = 200_000, check: bool = True):
+    def __init__(self, path: str, cache_units: int = 400_000, check: bool = True):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as file:
             proto.ParseFromString(file.read())
@@ -74,6 +76,7 @@ class PieceModel:
             if len(s) == 1:
                 self.symbol_of[ord(s)] = i
         self.char_of = {i: s for s, i in self.symbols.items() if len(s) == 1}
+        self.plain = [p.replace(SPACE, " ") if k in (_NORMAL, _UNUSED) else None for p, k in zip(self.pieces, self.types)]
         self.names = [str(i) for i in range(len(self.pieces))]
         self.first_foreign = 1 << 24  # symbols from here on are characters outside the vocabulary
 
@@ -88,7 +91,7 @@ class PieceModel:
         return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def _agenda(self, units: list[str]) -> list[list[int]]:
-        """The symbols of units of one length. In each round every unit takes the next pair of its agenda."""
+        """The ids of units of one length. In each round every unit takes the next pair of its agenda."""
         n, width = len(units), len(units[0])
         code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(n, width)
         symbol = self.symbol_of[code]
@@ -122,12 +125,10 @@ class PieceModel:
                 inner = ahead >= 0
                 r, a, b = rows[inner], ahead[inner], at[inner]
                 rank[r, a], merged[r, a] = self._look_up(symbol[r, a], symbol[r, b])
-        flat, sizes = symbol[alive].tolist(), alive.sum(1).tolist()
-        out, at = [], 0
-        for size in sizes:
-            out.append(flat[at : at + size])
-            at += size
-        return out
+        left = symbol[alive]
+        flat, ends = left.tolist(), np.cumsum(alive.sum(1)).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        return out if left.max() < len(self.pieces) else [self._ids(s) for s in out]
 
     def _long_agenda(self, unit: str) -> list[int]:
         """The same agenda as a heap, for units of any length in n log n steps."""
@@ -173,11 +174,14 @@ class PieceModel:
             by_length.setdefault(len(unit) if len(unit) <= short else 0, []).append(unit)
         out = {u: self._ids(self._long_agenda(u)) for u in by_length.pop(0, [])}
         for same in by_length.values():
-            out |= {u: self._ids(s) for u, s in zip(same, self._agenda(same))}
+            out.update(zip(same, self._agenda(same)))
         return out
 
     def surface(self, ids: list[int]) -> str:
         """What ids stand for, spaces in front included; ill-formed bytes become one replacement character each."""
+        parts = [self.plain[i] for i in ids]
+        if None not in parts:
+            return "".join(parts)
         out, data = [], bytearray()
         for i in [*ids, -1]:
             if i in self.byte_of:
@@ -211,21 +215,26 @@ class PieceModel:
         return [i for u in units for i in found[u]]
 
     def learn(self, texts: list[str]) -> list[list[str]]:
-        """The units of each text, all of them in the cache with ids and surface."""
+        """The units of each text, all of them in the cache with ids and surface.
+
+        A full cache keeps its older half, where the frequent units are.
+        """
         split = [self.units(t) for t in texts]
-        fresh = set().union(*split) - self.cache.keys() if split else set()
+        used = set().union(*split)
+        fresh = used - self.cache.keys()
         if len(self.cache) + len(fresh) > self.cache_units:
-            self.cache.clear()
-            fresh = set().union(*split)
+            self.cache = dict(islice(self.cache.items(), self.cache_units // 2))
+            fresh = used - self.cache.keys()
         found = self.encode_units(fresh)
+        surfaces = {unit: self.surface(ids) for unit, ids in found.items()}
         if self.check and found:
-            self._compare(found)
+            self._compare(found, surfaces)
         names = self.names
         for unit, ids in found.items():
-            self.cache[unit] = " ".join([names[i] for i in ids]), self.surface(ids)
+            self.cache[unit] = " ".join([names[i] for i in ids]), surfaces[unit]
         return split
 
-    def _compare(self, found: dict[str, list[int]]) -> None:
+    def _compare(self, found: dict[str, list[int]], surfaces: dict[str, str]) -> None:
         """Holds new units against the library. A unit without its own space in front is encoded behind a line feed."""
         spaced = [u for u in found if u[0] == SPACE and len(u) > 1]
         others = [u for u in found if u[0] != SPACE]
@@ -235,14 +244,21 @@ class PieceModel:
         if own != theirs:
             bad = next(u for u, a, b in zip(spaced + others, own, theirs) if a != b)
             raise AssertionError(f"the library encodes {bad!r} in another way")
-        decoded = self.library.decode(own, num_threads=1)
-        mine = [self.surface(found[u])[1:] for u in spaced] + [self.surface(before + found[u])[1:] for u in others]
-        if decoded != mine:
+        decoded = self.library.decode([i for ids in own for i in ids])
+        mine = "".join([surfaces[u] for u in spaced] + [" \n" + surfaces[u] for u in others])
+        if decoded != mine[1:]:
             raise AssertionError("the library decodes a unit in another way")
 
     def coded(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(decimal ids joined by spaces with the end id, decoded text) of each text."""
-        for units in self.learn(texts):
+        collects = gc.isenabled()
+        gc.disable()  # millions of short lists without cycles
+        try:
+            split = self.learn(texts)
+        finally:
+            if collects:
+                gc.enable()
+        for units in split:
             entries = [self.cache[u] for u in units]
             ids = " ".join([e[0] for e in entries])
             yield f"{ids} {self.eos}" if ids else str(self.eos), "".join([e[1] for e in entries])[1:]
