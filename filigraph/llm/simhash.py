@@ -102,41 +102,27 @@ def _probes(distinct: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
     return distinct.mapInArrow(enumerate_balls, "slot int, value long, probe int, fp long, rep long")
 
 
-class Forest:
-    """Union-find over places 0 to n - 1; the lowest place is the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def verified_links(fp: np.ndarray, rep: np.ndarray, entries: int, distance: int) -> list[tuple[int, int]]:
     """Links that span the near pairs of one bucket, whose first ``entries`` places are table entries.
 
-    All entries meet each other and all probes meet the entries, in blocks of bounded memory;
-    of the pairs that pass the complete distance only those that join two groups are kept.
+    All entries meet each other and all probes meet the entries, in blocks of a million pairs at
+    most; of the pairs that pass the complete distance only one for each two groups is kept, so a
+    bucket of near copies needs memory and gives links by its size, not by its square.
     """
-    forest, links, width = Forest(len(fp)), [], max(1, 4_000_000 // max(1, entries))
+    group, links, width = np.arange(len(fp)), [], max(1, 1_000_000 // max(1, entries))
     table = fp[:entries]
     for at in range(0, len(fp), width):
         near = np.bitwise_count(fp[at : at + width, None] ^ table[None, :]) <= distance
         if at < entries:
             near &= np.arange(entries)[None, :] < np.arange(at, at + len(near))[:, None]
-        rows, cols = np.nonzero(near)
-        for i, j in zip((rows + at).tolist(), cols.tolist()):
-            if forest.join(i, j):
-                links.append((int(rep[i]), int(rep[j])))
+        for row in np.flatnonzero(near.any(axis=1)).tolist():
+            i, hits = at + row, np.flatnonzero(near[row])
+            others, first = np.unique(group[hits], return_index=True)
+            for other, k in zip(others.tolist(), first.tolist()):
+                own = int(group[i])
+                if own != other:
+                    links.append((int(rep[i]), int(rep[hits[k]])))
+                    group[group == max(own, other)] = min(own, other)
     return links
 
 
