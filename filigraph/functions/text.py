@@ -13,6 +13,16 @@ ENTITIES = {
 }
 
 
+def once(c: Column) -> Column:
+    """A generator of the one value: later uses read it, where a plain column would be computed again for each."""
+    return F.explode(F.array(c))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -86,17 +96,19 @@ def decode_entities(c: Column) -> Column:
     named = c
     for name, char in ENTITIES.items():
         named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    found = F.regexp_extract_all(named, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0))
-    pieces = F.split(named, r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
+    numeric = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
     def char(ref: Column) -> Column:
         digits = F.regexp_extract(ref, "[0-9a-fA-F]+(?=;)", 0)
         code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-        return F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise("�")
+        return let(code, lambda n: F.when(n.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�"))
+
+    def woven(text: Column) -> Column:
+        chars = F.transform(F.regexp_extract_all(text, F.lit(numeric), F.lit(0)), char)
+        return F.array_join(F.flatten(F.zip_with(F.split(text, numeric, -1), chars, lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))), "")
 
-    chars = F.transform(found, char)
-    woven = F.array_join(F.flatten(F.zip_with(pieces, chars, lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))), "")
-    return F.replace(F.when(F.size(found) > 0, woven).otherwise(named), F.lit("&amp;"), F.lit("&"))
+    decoded = let(named, lambda text: F.when(text.rlike(numeric), woven(text)).otherwise(text))
+    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
 
 
 def html_text(c: Column) -> Column:

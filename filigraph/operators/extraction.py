@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigraph import schemas
-from filigraph.functions.text import filled_or_empty, slug, strip
+from filigraph.functions.text import once, slug, strip, words
 from filigraph.operators.lexicon import Lexicon
 
 _NODE_COLUMNS = [x.split()[0] for x in schemas.NODE.split(", ")]
@@ -26,9 +26,9 @@ def mission(text: Column, lexicon: Lexicon) -> Column:
     return F.coalesce(*[F.substring(strip(r), 1, 500) for r in rules], F.substring(sentence, 1, 500))
 
 
-def sentence_around(text: Column, lower: Column, keyword: str) -> Column:
+def sentence_around(text: Column, lower: Column, keyword: Column) -> Column:
     """The sentence around a keyword's first place; null where it is absent. Without a stop 201 characters follow."""
-    at = F.locate(keyword, lower) if isinstance(keyword, str) else keyword
+    at = F.position(keyword, lower)
     left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
     right = F.substring(text, at, F.length(text))
     tail = F.when(F.contains(right, F.lit(".")), F.concat(F.substring_index(right, ".", 1), F.lit("."))).otherwise(F.substring(right, 1, 201))
@@ -40,9 +40,9 @@ def objectives(text: Column, lexicon: Lexicon) -> Column:
     lower = F.lower(text)
 
     def of(kind: str, keywords: tuple[str, ...]) -> Column:
-        sentences = [sentence_around(text, lower, k) for k in keywords]
-        first = F.coalesce(*[F.when(F.length(s) > 20, F.substring(s, 1, 500)) for s in sentences])
-        return F.struct(first.alias("text"), F.lit(kind).alias("objective_type"))
+        sentences = F.transform(F.array(*[F.lit(k) for k in keywords]), lambda k: sentence_around(text, lower, k))
+        first = F.get(F.filter(sentences, lambda s: F.length(s) > 20), F.lit(0))
+        return F.struct(F.substring(first, 1, 500).alias("text"), F.lit(kind).alias("objective_type"))
 
     found = F.array(*[of(kind, keywords) for kind, keywords in lexicon.objectives.items()])
     return F.slice(F.filter(found, lambda o: o["text"].isNotNull()), 1, lexicon.most_objectives)
@@ -63,7 +63,7 @@ def initiatives(text: Column, lexicon: Lexicon) -> Column:
 def risks(text: Column, lexicon: Lexicon) -> Column:
     """array<struct<name, risk_category>>: the first keyword of each category, the first categories."""
     lower = F.lower(text)
-    first = lambda keywords: F.coalesce(*[F.when(F.contains(lower, F.lit(k)), F.lit(k)) for k in keywords])
+    first = lambda keywords: F.get(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lower, k)), F.lit(0))
     found = F.array(*[F.struct(first(keywords).alias("name"), F.lit(kind).alias("risk_category")) for kind, keywords in lexicon.risks.items()])
     return F.slice(F.filter(found, lambda r: r["name"].isNotNull()), 1, lexicon.most_risks)
 
@@ -88,7 +88,9 @@ def extract(sections: DataFrame, lexicon: Lexicon | None = None, shortest: int =
         fields = {k: F.when(F.col("record").isNotNull(), F.col(f"record.{k}")).otherwise(v) for k, v in fields.items()}
     rows = sections.where(F.length("text") >= shortest)
     company = F.struct(F.col("ticker").cast("string").alias("ticker"), cik.alias("cik")).alias("Company")
-    return with_edges(rows.select(company, *[v.alias(k) for k, v in fields.items()]))
+    # The explode of one row keeps the optimiser from copying the rules into every later use of their results.
+    rules = once(F.struct(company, *[v.alias(k) for k, v in fields.items()])).alias("r")
+    return with_edges(rows.select(rules).select("r.*"))
 
 
 def with_edges(records: DataFrame) -> DataFrame:
@@ -116,8 +118,6 @@ def parse_record(answer: Column) -> Column:
 
 def prompt_words(text: Column, most: int = 3000) -> Column:
     """What a language model gets of a text: its first words."""
-    from filigraph.functions.text import words
-
     return F.array_join(F.slice(words(text), 1, most), " ")
 
 

@@ -568,7 +568,7 @@ def ask_hybrid(spark, sf_dir):
     embedder = retrieval.HashingEmbedder(64)
     chunks = embedder.embed(chunking.chunk(docs, "ticker"))
     records = extraction.extract(docs, LEXICON)
-    g = graphs.load(extraction.nodes(records), extraction.edges(records))
+    g = graphs.load(extraction.nodes(records), extraction.edges(records)).cache()
     companies = docs.select("ticker", F.concat(F.lit("Document "), "ticker").alias("name"), F.lit("").alias("mission"), F.lit("Moderate").alias("alignment_label"))
     found = ask("What is the tion of the erinth?", "1", chunks, embedder, g, companies, AskConfig())
     return found.select("question", "company", "answer", F.size("evidence_spans").alias("spans"), F.size("kg_paths").alias("paths"), F.array_join("pipeline_steps", ", ").alias("steps"))
