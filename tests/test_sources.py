@@ -1,0 +1,111 @@
+import json
+
+from filigraph.operators import answers, retrieval
+from filigraph.plans.ask import AskConfig, ask
+from filigraph.plans.build import build
+from filigraph.operators import graph as graphs
+from filigraph.sources import fetch, readers, sinks
+from filigraph.streaming import windows
+from pyspark.sql import functions as F
+
+
+def test_missing_paths_are_empty(spark, tmp_path):
+    assert readers.chunks(spark, str(tmp_path / "no")).count() == 0
+    assert readers.nodes(spark, str(tmp_path / "no.csv")).columns[0] == "id"
+    assert readers.sections(spark, str(tmp_path / "no")).columns == ["ticker", "text"]
+
+
+def test_chunk_and_section_files(spark, tmp_path):
+    row = {"chunk_id": "A_chunk_0000", "ticker": "A", "section": "Item 1", "page_estimate": 1, "start_word": 0, "end_word": 1, "text": "x"}
+    (tmp_path / "A_chunks.json").write_text(json.dumps([row, row], indent=2))
+    (tmp_path / "B_chunks.json").write_text(json.dumps([row | {"ticker": "B"}]))
+    (tmp_path / "A_item1.txt").write_text("line\nline")
+    assert readers.chunks(spark, str(tmp_path)).count() == 3 and readers.chunks(spark, str(tmp_path), "B").count() == 1
+    assert readers.sections(spark, str(tmp_path)).first().asDict() == {"ticker": "A", "text": "line\nline"}
+
+
+def test_graph_files_round_trip(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "L", None, "0001", 'say "hi"', "two\nlines", None, None, None, 0), ("b", "L", None, None, None, " ", None, None, None, 1)], "id string, label string, ticker string, cik string, name string, text string, objective_type string, status string, risk_category string, ord bigint")
+    edges = spark.createDataFrame([("a", "b", "r", 0)], "src string, dst string, rel string, ord bigint")
+    sinks.write_graph(nodes, edges, str(tmp_path), one_file=True)
+    got = {r["id"]: r for r in readers.nodes(spark, str(tmp_path / "nodes.csv")).collect()}
+    assert got["a"]["text"] == "two\nlines" and got["a"]["name"] == 'say "hi"' and got["a"]["cik"] == "0001" and got["b"]["text"] is None
+    assert readers.edges(spark, str(tmp_path / "edges.csv")).first()["rel"] == "r"
+
+
+def test_page_sink(spark, tmp_path):
+    g = graphs.load(spark.createDataFrame([("a", "Company", "A </script>", 0), ("b", "RiskTheme", "legal", 1)], "id string, label string, name string, ord bigint").withColumn("text", F.lit(None).cast("string")), spark.createDataFrame([("a", "b", "r", 0)], "src string, dst string, rel string, ord bigint"))
+    sinks.write_graph_page(graphs.node_view(g, g.nodes, {}, {}), graphs.edge_view(g), str(tmp_path / "page"))
+    page = "".join(p.read_text() for p in (tmp_path / "page").glob("part-*"))
+    assert page.count("</script>") == 1 and "Legal" in page
+
+
+def test_ontology_readers(spark, tmp_path):
+    (tmp_path / "o.json").write_text(json.dumps({"edges": {"holds": {"domain": "P", "range": "H"}}}))
+    assert readers.ontology_edges(spark, str(tmp_path / "o.json")).first().asDict() == {"edge": "holds", "domain": "P", "range": "H"}
+    (tmp_path / "o.owl").write_text('<rdf:RDF xmlns:rdf="r" xmlns:owl="o"><owl:Class rdf:about="#A"><x/></owl:Class><owl:Class rdf:about="#B"><x/></owl:Class></rdf:RDF>')
+    assert sorted(r["iri"] for r in readers.ontology_classes(spark, str(tmp_path / "o.owl")).collect()) == ["#A", "#B"]
+
+
+def test_download_tries_twice_and_keeps_errors(spark):
+    def fetcher(url):
+        if "/0001/" in url or "/2/" in url:
+            return f"<p>{url}</p>"
+        raise OSError("no such page")
+
+    filings = readers.filings(spark, [("A", "0001", "1-2", "a.htm"), ("B", "0002", "1-2", "b.htm"), ("C", "0003", "1-2", "c.htm")])
+    rows = {r["ticker"]: r for r in fetch.download(filings, fetcher).collect()}
+    assert rows["A"]["status"] == "OK" and "/0001/12/a.htm" in rows["A"]["html"] and "/2/12/b.htm" in rows["B"]["html"]
+    assert rows["C"]["status"] == "FAILED" and rows["C"]["error"] == "no such page"
+    table = fetch.summary(spark.createDataFrame(list(rows.values())), spark.createDataFrame([("A", "abc")], "ticker string, text string"), spark.createDataFrame([("A",)], "ticker string"))
+    assert {r["line"] for r in fetch.summary_lines(table).collect()} == {"A: 3 chars, 1 chunks", "B: 0 chars, 0 chunks", "C: FAILED - no such page"}
+
+
+def test_build_and_ask(spark):
+    page = "<h1>ITEM 1. BUSINESS</h1><p>Our mission is to serve people. We expand our cloud with care for everyone around. " + "words " * 600 + "inflation</p>"
+    pages = spark.createDataFrame([("A", page), ("B", None)], "ticker string, html string")
+    b = build(pages)
+    assert b.chunks.where("ticker = 'A'").count() == 2 and b.sections.where("ticker = 'B'").first()["text"] == ""
+    companies = spark.createDataFrame([("A", "Acme", "Serve", "Strong")], "ticker string, name string, mission string, alignment_label string")
+    g = graphs.load(b.nodes.cache(), b.edges.cache()).cache()
+    embedder = retrieval.HashingEmbedder(32)
+    row = ask("What is the cloud?", "A", embedder.embed(b.chunks), embedder, g, companies).first()
+    assert row["answer"].startswith("**Acme** (Strong)\n\n**Mission:** Serve\n\n\n**Key Findings from 10-K:**\n\n1. ")
+    assert len(row["evidence_spans"]) == 2 and row["pipeline_steps"] == list(answers.STEPS) and row["kg_paths"][0]["path"].startswith("Company:A →[hasMission]→ Mission")
+    plain = ask("What is the cloud?", "A", embedder.embed(b.chunks), embedder, g, companies, AskConfig(rerank=False, explain=False), model_answer=F.lit("It grows. It is lar")).first()
+    assert plain["answer"] == "It grows." and plain["kg_paths"] == [] and "Reranker" not in plain["pipeline_steps"]
+    nobody = ask("x", "Z", embedder.embed(b.chunks), embedder, g, companies).first()
+    assert nobody["answer"].startswith("**Z** (N/A)") and nobody["evidence_spans"] == []
+
+
+def test_topic(spark):
+    got = spark.createDataFrame([("What is the Mission of X?",), ("what are the risks ",)], "q string").select(answers.topic(F.col("q")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["mission of x?", "risks"]
+
+
+def test_search_modes_and_models(spark):
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], i % 2) for i in range(20)], "vec_id bigint, embedding array<double>, label int")
+    post = retrieval.search(vectors, [0.0, 1.0], 2, F.col("label") == 0, "post").collect()
+    pre = retrieval.search(vectors, [0.0, 1.0], 2, F.col("label") == 0, "pre").collect()
+    assert [r["vec_id"] for r in pre] == [18, 16] == [r["vec_id"] for r in post]
+    assert retrieval.search(vectors, [0.0, 1.0], 2, F.col("vec_id") < 3, "post").count() == 0
+    texts = spark.createDataFrame([("a", "x y", 0.5), ("b", None, 0.9)], "chunk_id string, text string, score double")
+    embedded = retrieval.ModelEmbedder(lambda: lambda rows: [[3.0, 4.0] for _ in rows]).embed(texts).first()
+    assert embedded["embedding"] == [0.6, 0.8]
+
+    def broken():
+        raise RuntimeError("no model")
+
+    ranked = retrieval.rerank(texts, F.lit("x"), 2, retrieval.ModelScorer(broken)).collect()
+    assert [r["chunk_id"] for r in ranked] == ["b", "a"]
+    assert [r["chunk_id"] for r in retrieval.rerank(texts, F.lit("x"), 2).collect()] == ["a", "b"]
+
+
+def test_streams(spark, tmp_path, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = windows.windowed_counts(stream, "1 hour").writeStream.outputMode("complete").format("memory").queryName("w").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.sql("SELECT sum(n) n FROM w").first()["n"] == events.count()
