@@ -86,7 +86,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text_or_empty(text_col).alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    rows = rows.where(F.size("found") > 0).withColumn("between", F.split("text", CANDIDATE, -1))
+    # The row's number is given before the explode, so that it stays one for all candidates of a text.
+    rows = rows.where(F.size("found") > 0).withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
     item = lambda i: F.struct(
         F.length(F.col("between")[i]).alias("gap"),
         F.right(F.col("between")[i], F.lit(48)).alias("before"),
@@ -94,7 +95,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.left(F.col("between")[i + 1], F.lit(24)).alias("after"),
     )
     items = F.transform(F.sequence(F.lit(0), F.size("found") - 1), item)
-    flat = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", F.posexplode(items).alias("place", "item")).select("row", "doc_id", "path", "place", "item.*")
+    flat = rows.select("row", "doc_id", "path", F.posexplode(items).alias("place", "item")).select("row", "doc_id", "path", "place", "item.*")
     so_far = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.length("candidate")).over(so_far)
     return flat.select("doc_id", "path", (end - F.length("candidate") + 1).alias("start"), "candidate", "before", "after")
