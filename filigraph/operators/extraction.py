@@ -6,8 +6,6 @@ and no shuffle before nodes are deduplicated.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,57 +123,65 @@ def _id(label: str, name: Column) -> Column:
     return F.concat_ws(":", F.lit(label), F.col("Company.ticker"), slug(name))
 
 
+#: Label, what names it, default name, edge from the company, the column that only this kind fills.
 _PARTS = (
-    # label, field, what names it, default name, edge, extra columns
-    ("StrategicObjective", "text", "objective", "statesObjective", ("objective_type",)),
-    ("Capability", "name", "capability", "buildsCapability", ()),
-    ("Initiative", "name", "initiative", "pursues", ("status",)),
-    ("RiskTheme", "name", "risk", "exposedTo", ("risk_category",)),
+    ("StrategicObjective", "text", "objective", "statesObjective", "objective_type"),
+    ("Capability", "name", "capability", "buildsCapability", None),
+    ("Initiative", "name", "initiative", "pursues", "status"),
+    ("RiskTheme", "name", "risk", "exposedTo", "risk_category"),
 )
 
 
+def _listed(label: str, make) -> Column:
+    return F.transform(F.coalesce(F.col(label), F.array()), make)
+
+
+def _present(table: str, *parts: Column) -> Column:
+    """One array of all structs that are not null."""
+    return F.filter(F.concat(*parts).cast(f"array<struct<{', '.join(':'.join(x.split()) for x in table.split(', '))}>>"), lambda x: x.isNotNull())
+
+
 def nodes(records: DataFrame, companies: DataFrame | None = None) -> DataFrame:
-    """The node table of records. ``companies`` gives names by ticker; ``ord`` counts kinds and places of a document."""
-    own = F.concat_ws(":", F.lit("Company"), F.col("Company.ticker"))
-    base = records.select(own.alias("id"), F.lit("Company").alias("label"), "Company.ticker", "Company.cik", F.lit(0).cast("bigint").alias("ord"))
-    if companies is not None:
-        base = base.join(companies.select("ticker", "name"), "ticker", "left")
-    goals = records.where("Mission.text is not null").select(
-        F.concat_ws(":", F.lit("Mission"), F.col("Company.ticker"), F.lit("mission")).alias("id"), F.lit("Mission").alias("label"), F.col("Mission.text").alias("text"), F.lit(1).cast("bigint").alias("ord")
-    )
+    """The node table of records, by one pass over them. ``companies`` gives names by ticker; ``ord`` counts kinds and places of a document."""
+    none = F.lit(None).cast("string")
+
+    def node(**values: Column) -> Column:
+        return F.struct(*[values.get(c, none).alias(c) for c in _NODE_COLUMNS])
 
-    def part(k: int) -> DataFrame:
+    own = node(id=F.concat_ws(":", F.lit("Company"), F.col("Company.ticker")), label=F.lit("Company"), ticker=F.col("Company.ticker"), cik=F.col("Company.cik"), ord=F.lit(0).cast("bigint"))
+    goal = node(id=F.concat_ws(":", F.lit("Mission"), F.col("Company.ticker"), F.lit("mission")), label=F.lit("Mission"), text=F.col("Mission.text"), ord=F.lit(1).cast("bigint"))
+
+    def listed(k: int) -> Column:
         label, by, default, _, extra = _PARTS[k]
-        rows = records.select("Company", F.posexplode(label).alias("place", "item"))
-        return rows.select(
-            _id(label, F.coalesce(F.col(f"item.{by}"), F.lit(default))).alias("id"), F.lit(label).alias("label"), F.col(f"item.{by}").alias(by),
-            *[F.col(f"item.{x}").alias(x) for x in extra], ((k + 2) * 1000 + F.col("place")).cast("bigint").alias("ord"),
-        )
+        return _listed(label, lambda x, i: node(**({"id": _id(label, F.coalesce(x[by], F.lit(default))), "label": F.lit(label), by: x[by], "ord": ((k + 2) * 1000 + i).cast("bigint")} | ({extra: x[extra]} if extra else {}))))
 
-    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    table = reduce(union, [base, goals, *[part(k) for k in range(4)]])
-    missing = [c for c in _NODE_COLUMNS if c not in table.columns]
-    return table.withColumns({c: F.lit(None).cast("string") for c in missing}).select(*_NODE_COLUMNS)
+    all_nodes = _present(schemas.NODE, F.array(own, F.when(F.col("Mission.text").isNotNull(), goal)), *[listed(k) for k in range(4)])
+    table = records.select(F.explode(all_nodes).alias("n")).select("n.*")
+    if companies is None:
+        return table
+    names = companies.select(F.col("ticker").alias("__ticker"), F.col("name").alias("__name"))
+    joined = table.join(names, table["ticker"] == F.col("__ticker"), "left")
+    return joined.withColumn("name", F.coalesce("__name", "name")).select(*_NODE_COLUMNS)
 
 
 def edges(records: DataFrame) -> DataFrame:
-    """The edge table of records: what a company has, and links to its first objective and first capability."""
+    """The edge table of records, by one pass: what a company has, and links to its first objective and first capability."""
     own = F.concat_ws(":", F.lit("Company"), F.col("Company.ticker"))
-    goal, skill = F.get("StrategicObjective", F.lit(0)), F.get("Capability", F.lit(0))
-    out = [
-        records.where("Mission.text is not null").select(
-            own.alias("src"), F.concat_ws(":", F.lit("Mission"), F.col("Company.ticker"), F.lit("mission")).alias("dst"), F.lit("hasMission").alias("rel"), F.lit(1).cast("bigint").alias("ord")
-        )
-    ]
-    links = {"Capability": ("supportsObjective", "StrategicObjective", goal, "text"), "Initiative": ("initiativeEnables", "Capability", skill, "name")}
-    for k, (label, by, default, rel, _) in enumerate(_PARTS):
-        rows = records.select("Company", goal.alias("goal"), skill.alias("skill"), F.posexplode(label).alias("place", "item"))
-        at = ((k + 2) * 1000 + F.col("place") * 2).cast("bigint")
-        me = _id(label, F.coalesce(F.col(f"item.{by}"), F.lit(default)))
-        out.append(rows.select(own.alias("src"), me.alias("dst"), F.lit(rel).alias("rel"), at.alias("ord")))
-        if label in links:
-            link, target, _, name = links[label]
-            first = F.col("goal" if target == "StrategicObjective" else "skill")
-            linked = rows.where(first.isNotNull())
-            out.append(linked.select(me.alias("src"), _id(target, F.coalesce(first[name], F.lit(""))).alias("dst"), F.lit(link).alias("rel"), (at + 1).alias("ord")))
-    return reduce(DataFrame.unionByName, out)
+    edge = lambda src, dst, rel, at: F.struct(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"), at.cast("bigint").alias("ord"))
+    first = {"Capability": ("StrategicObjective", "text", "supportsObjective"), "Initiative": ("Capability", "name", "initiativeEnables")}
+    has = F.when(F.col("Mission.text").isNotNull(), edge(own, F.concat_ws(":", F.lit("Mission"), F.col("Company.ticker"), F.lit("mission")), "hasMission", F.lit(1)))
+
+    def of(k: int) -> list[Column]:
+        label, by, default, rel, _ = _PARTS[k]
+        me = lambda x: _id(label, F.coalesce(x[by], F.lit(default)))
+        at = lambda i: (k + 2) * 1000 + i * 2
+        out = [_listed(label, lambda x, i: edge(own, me(x), rel, at(i)))]
+        if label in first:
+            target, name, link = first[label]
+            head = F.get(target, F.lit(0))
+            end = _id(target, F.coalesce(head[name], F.lit("")))
+            out.append(_listed(label, lambda x, i: F.when(head.isNotNull(), edge(me(x), end, link, at(i) + 1))))
+        return out
+
+    parts = [F.array(has), *[p for k in range(4) for p in of(k)]]
+    return records.select(F.explode(_present(schemas.EDGE, *parts)).alias("e")).select("e.*")
