@@ -1,0 +1,140 @@
+"""Near copies by shingle Jaccard: MinHash bands find candidates, whole shingle sets verify them.
+
+Texts that agree in all values of one band share a bucket. Within a bucket the complete sets of word
+runs are compared, and only links that span its groups are kept. At a similarity of 0.8 a pair shares none of
+the 28 bands with a chance of about 2 in 100,000; no pair below the similarity is linked.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from filigraph.llm.shared import cut, text_or_empty
+from filigraph.llm.simhash import LOWER, components
+
+BANDS, ROWS = 28, 5
+_DRAW = np.random.default_rng(42)
+_FACTORS = _DRAW.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MASKS = _DRAW.integers(0, 2**64, BANDS * ROWS, np.uint64)
+_BLOCK = 1024
+
+
+def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of all runs of ``shingle`` words; a shorter text is one run, one without words the empty run."""
+    data = b" ".join(text.encode().translate(LOWER).split())
+    bounds = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    starts, ends = [0, *(bounds + 1).tolist()], [*bounds.tolist(), len(data)]
+    if len(starts) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(data)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(data[a:b]) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64))
+
+
+def band_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One bucket of each band, as signed longs."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), _BLOCK):
+        mixed = (hashes[None, at : at + _BLOCK] ^ _MASKS[:, None]) * _FACTORS[:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    data = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(data[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def spanning_links(keys: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span all pairs of one bucket at ``similarity`` or more: a group that a text has joined isn't compared further."""
+    groups: list[list[int]] = []
+    links = []
+    for i, own in enumerate(sets):
+        joined, apart = [i], []
+        for group in groups:
+            for m in reversed(group):
+                small, large = sorted((len(own), len(sets[m])))
+                if small >= similarity * large and jaccard(own, sets[m]) >= similarity:
+                    links.append((keys[i], keys[m]))
+                    joined = group + joined
+                    break
+            else:
+                apart.append(group)
+        groups = [*apart, joined]
+    return links
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+
+
+def similar_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): keys of texts, linked so that groups of near copies hang together. ``texts`` has (key, text)."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buckets = [band_hashes(shingle_set(t, shingle)) for t in batch.column(1).to_pylist()]
+            keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), pa.array(keys)], ["bucket", "key"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                batch = big.slice(at, 256)
+                sets = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["key", "hashes"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keys, sets = None, [], []
+
+        def found() -> pa.RecordBatch:
+            links = np.array(spanning_links(keys, sets, similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+
+        for batch in batches:
+            for at, key, hashes in zip(*[c.to_pylist() for c in batch.columns]):
+                if at != bucket:
+                    yield found()
+                    bucket, keys, sets = at, [], []
+                keys.append(key)
+                sets.append(np.frombuffer(hashes, np.uint64))
+        yield found()
+
+    bands = cut(texts.select("key", "text").mapInArrow(banded, "bucket long, key long"), "bands")
+    # Buckets of the same members are searched once: members count by two sums of their hashes.
+    mark = F.xxhash64("key")
+    sums = (F.sum(mark.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s0"), F.sum(F.shiftrightunsigned(mark, 32)).alias("s1"))
+    groups = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), *sums)
+    live = groups.where("low <> high").groupBy("n", "low", "high", "s0", "s1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = cut(bands.join(live, "bucket").select("bucket", "key").distinct(), "band_members")
+    needed = texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "text")
+    sets = cut(needed.mapInArrow(whole, "key long, hashes binary"), "shingle_sets").dropDuplicates(["key"])
+    dealt = members.join(sets, "key").select("bucket", "key", "hashes").repartition("bucket").sortWithinPartitions("bucket", "key")
+    return dealt.mapInArrow(search, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with all its columns; of each group of near copies the row with the smallest id stays.
+
+    A group is all texts that links of ``similarity`` or more reach; texts without words are one group. Null texts are
+    empty, rows without an id are never dropped, rows that repeat id and text share their verdict. A verdict
+    is of an id and its text, so another text with the same id has its own.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    joined = components(similar_links(keyed.select("key", "text"), shingle, similarity))
+    rows = keyed.select("doc_id", "key").where(F.col("doc_id").isNotNull())
+    rows = cut(rows.join(joined, rows["key"] == joined["node"], "left").select("doc_id", "key", F.coalesce("component", "key").alias("component")), "near_copies")
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("least"))
+    dropped = rows.join(least, "component").where("doc_id <> least").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    same = (docs[id_col] == F.col("_id")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_key"))
+    return docs.join(dropped.hint("shuffle_hash"), same, "left_anti").select(docs.columns)
