@@ -81,18 +81,21 @@ def features(findings: DataFrame) -> tuple[DataFrame, list[str]]:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """``doc_id, path, start, candidate, before, after``: every candidate of every whole text, ``start`` from 1.
 
-    The text is split at the candidates, so each knows the text between; only the neighbouring
-    characters are kept. A null or empty text, or one without candidates, gives no rows.
+    The text is split at the candidates. ``before`` (48 characters) and ``after`` (24) are of the whole text: with 16
+    characters or more a candidate, three earlier and two later ones reach far enough.
+    A null or empty text, or one without candidates, gives no rows.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text_or_empty(text_col).alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
     # The row's number is given before the explode, so that it stays one for all candidates of a text.
     rows = rows.where(F.size("found") > 0).withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
+    end_of = lambda c, i: F.right(F.coalesce(F.get(c, i), F.lit("")), F.lit(48))
+    start_of = lambda c, i: F.left(F.coalesce(F.get(c, i), F.lit("")), F.lit(24))
     item = lambda i: F.struct(
         F.length(F.col("between")[i]).alias("gap"),
-        F.right(F.col("between")[i], F.lit(48)).alias("before"),
+        F.right(F.concat(*[p for k in (3, 2, 1) for p in (end_of("found", i - k), end_of("between", i - k + 1))]), F.lit(48)).alias("before"),
         F.col("found")[i].alias("candidate"),
-        F.left(F.col("between")[i + 1], F.lit(24)).alias("after"),
+        F.left(F.concat(*[p for k in (1, 2) for p in (start_of("between", i + k), start_of("found", i + k))]), F.lit(24)).alias("after"),
     )
     items = F.transform(F.sequence(F.lit(0), F.size("found") - 1), item)
     flat = rows.select("row", "doc_id", "path", F.posexplode(items).alias("place", "item")).select("row", "doc_id", "path", "place", "item.*")
@@ -115,7 +118,7 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
     rows_df = spark.range(rows).withColumn("hex", F.sha2(F.concat_ws(":", F.lit(str(seed)), "id"), 512))
     rows_df = rows_df.withColumn("mixed", F.regexp_replace(F.base64(F.unhex("hex")), "[+/=\\s]", "")).withColumn("kind", pick("kind", 16))
     cut_at = lambda column, *sizes: F.substring(column, F.lit(1), F.element_at(F.array(*[F.lit(s) for s in sizes]), (pick("size", len(sizes)) + 1).cast("int")))
-    names = ("token", "secret", "password", "api_key", "auth_token", "client_secret", "access_key", "passwd")
+    names = ("token", "secret", "password", "api_key", "auth_token", "client_secret", "access_key", "passwd", "AWS_SECRET_ACCESS_KEY", "github_oauth_token", "client_secret_value", "DATABASE_PASSWORD")
     assign = F.concat(one_of("name", *names), one_of("sign", ' = "', "=", ": ", ' = "', '="', ": '"))
     prose = F.concat(word("left1", 2, 9), F.lit(" "), word("left2", 2, 9), F.lit(" "))
     k = F.col("kind")
@@ -138,7 +141,7 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
     before = (
         F.when(sure & (k != 5), F.concat(prose, assign))
         .when(k == 5, F.concat(prose, one_of("maybe", assign, F.lit(""))))
-        .when(k == 6, F.concat(prose, one_of("benign", "commit ", "sha256:", "checksum ", "md5=", 'etag: "', "digest = ")))
+        .when(k == 6, F.concat(prose, one_of("benign", "commit ", "sha256:", "checksum ", "md5=", 'etag: "', "digest = ", "artifact_sha256_checksum: ", 'release_commit_digest = "')))
         .when(k == 11, F.concat(prose, assign))
         .when(k == 12, F.concat(prose, one_of("uuid", "id: ", "uuid ", "request ", "")))
         .otherwise(prose)
