@@ -54,13 +54,14 @@ class Model:
         out = list(map(seen.__getitem__, words))
         if len(seen) > 200_000:
             seen.clear()
-        if out and max(out) > 0:  # a word that is repeated is no new evidence
-            met: set[str] = set()
+        if out and max(out) > 0:  # a repeat is no new evidence while the drift since then hasn't used up the word's score
+            counted: dict[str, int] = {}
             for i, word in enumerate(words):
                 if out[i] > 0:
-                    if word in met:
+                    if word in counted and (counted[word] - i) * self.drift < out[i]:
                         out[i] = self.drift
-                    met.add(word)
+                    else:
+                        counted[word] = i
         return out
 
     def evidence(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
