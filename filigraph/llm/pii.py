@@ -46,6 +46,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}])(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.?) {_NAME}(?: {_NAME})?",
 }
 ENTITY = "|".join(PATTERNS.values())
+#: An attempt of a name is so many times the attempt of its family name, plus that of its given name.
+_FAMILY = 64
 
 
 def _chars(code: Column) -> Column:
@@ -104,17 +106,23 @@ def _ip(value: Column, key: str, tweak: Column) -> Column:
     return _let(state, lambda s: F.concat_ws(".", *[x.cast("string") for x in (F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256)]))
 
 
-def _name(value: Column, key: str, tweak: Column) -> Column:
-    """The title stays; a given name comes from the list of its gender and script, a family name is permuted."""
+def _name(value: Column, key: str, attempt: Column) -> Column:
+    """The title stays; a given name comes from the list of its gender and script, a family name is permuted.
+
+    The family name depends on itself and the attempt's multiple of ``_FAMILY`` only, so all mentions share it.
+    What is left of the attempt joins the permuted given name to the one of the list, which tells namesakes apart.
+    """
     parts = F.split(value, " ")
     title, family = parts[0], F.element_at(parts, -1)
     given = F.when(F.size(parts) > 2, parts[1])
     gender = F.when(F.regexp_replace(title, "\\.$", "").rlike(f"^({MALE})$"), "m").when(F.regexp_replace(title, "\\.$", "").rlike(f"^({FEMALE})$"), "f").otherwise("n")
     script = F.when(family.rlike("^[\\u0400-\\u04FF]"), "cyrillic").when(family.rlike("^[\\u0370-\\u03FF\\u1F00-\\u1FFF]"), "greek").otherwise("latin")
     lists = F.create_map(*[x for (g, s), names in GIVEN.items() for x in (F.lit(g + s), F.array(*[F.lit(n) for n in names]))])
-    pick = F.conv(F.substring(_stream(key, tweak, 9, F.lower(given)), 1, 6), 16, 10).cast("int") % 8
-    new_given = F.get(F.element_at(lists, F.concat(gender, script)), pick)
-    return F.concat_ws(" ", title, F.when(given.isNotNull(), new_given), permuted(family, key, F.concat(tweak, F.lit("\u0002"), F.coalesce(given, F.lit("")))))
+    pick = F.conv(F.substring(_stream(key, F.lit("name:"), 9, F.lower(given)), 1, 6), 16, 10).cast("int") % 8
+    own = (attempt % _FAMILY).cast("string")
+    new_given = F.concat_ws("-", F.get(F.element_at(lists, F.concat(gender, script)), pick), F.when(own != "0", permuted(given, key, F.concat(F.lit("given:"), own))))
+    tweak = F.concat(F.lit("name:"), script, F.lit(":"), F.floor(attempt / _FAMILY).cast("string"))
+    return F.concat_ws(" ", title, F.when(given.isNotNull(), new_given), permuted(family, key, tweak))
 
 
 def kind_of(value: Column) -> Column:
@@ -138,7 +146,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     card = _let(F.concat(F.left(value, F.lit(1)), permuted(F.substring(body, F.lit(2), F.length(body)), key, F.concat(tweak, F.left(value, F.lit(1))))), lambda b: F.concat(b, F.pmod(offset - _luhn(b), F.lit(10)).cast("string")))
     code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     phone = F.concat(code, permuted(F.substring(value, F.length(code) + 1, F.length(value)), key, F.concat(tweak, code)))
-    return F.when(kind == "email", email).when(kind == "ip", _ip(value, key, tweak)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", permuted(value, key, tweak)).otherwise(_name(value, key, tweak))
+    return F.when(kind == "email", email).when(kind == "ip", _ip(value, key, tweak)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", permuted(value, key, tweak)).otherwise(_name(value, key, attempt))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -150,8 +158,12 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def settle(values: DataFrame, key: str, rounds: int = 12) -> DataFrame:
     """(kind, value, attempt, surrogate): no two values share a surrogate and no surrogate is a value of the corpus.
 
-    Of values that collide the least keeps its surrogate, all others try again.
+    Of values that collide the least keeps its surrogate, all others try again: a full name with another
+    given name, a name without one with another family name, in which all names of the family follow.
     """
+    parts = F.split("value", " ")
+    short = (F.col("kind") == "name") & (F.size(parts) < 3)
+    family = Window.partitionBy("kind", F.when(F.col("kind") == "name", F.element_at(parts, -1)).otherwise(F.col("value")))
     state = cut(values.withColumn("attempt", F.lit(0)), "entities")
     originals = state.select("kind", F.col("value").alias("surrogate"))
     for _ in range(rounds):
@@ -162,7 +174,9 @@ def settle(values: DataFrame, key: str, rounds: int = 12) -> DataFrame:
         checked = ranked.join(taken, ["kind", "surrogate"], "left").withColumn("again", (F.col("place") > 1) | F.col("taken").isNotNull())
         if checked.where("again").isEmpty():
             return tried
-        state = cut(checked.select("kind", "value", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")), "entities")
+        moved = F.max((F.col("again") & short).cast("int")).over(family)
+        step = F.when(moved > 0, _FAMILY).otherwise(F.col("again").cast("int"))
+        state = cut(checked.select("kind", "value", (F.col("attempt") + step).alias("attempt")), "entities")
     raise RuntimeError("some surrogates still collide")
 
 
