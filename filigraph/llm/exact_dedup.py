@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filigraph.llm.shared import cut, text_or_empty
+from filigraph.llm.shared import cut, keep_rows, text_key, text_or_empty
 
 
 def shrink(counts: dict[bytes, int], counters: int) -> dict[bytes, int]:
@@ -64,9 +64,12 @@ def exact_dedup(
     Other columns of the input are ignored; an empty input gives an empty result.
     """
     normal = text_or_empty(text_col) if normalise is None else F.coalesce(normalise, F.lit(""))
-    digests = cut(
-        docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normal, 256)).alias("digest")), "digests"
-    )
+    return _verdicts(docs.select(F.col(id_col).alias("doc_id"), normal.alias("text")), counters)
+
+
+def _verdicts(texts: DataFrame, counters: int, *extra: str) -> DataFrame:
+    """:func:`exact_dedup` of (doc_id, text), with ``extra`` columns of the rows."""
+    digests = cut(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), *extra), "digests")
     rows = digests.count()
     frequent = misra_gries(digests, "digest", counters).where(F.col("estimate") > rows / (counters + 1)).select("digest")
     group = (F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
@@ -80,13 +83,16 @@ def exact_dedup(
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *extra,
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with all its columns, without the rows that :func:`exact_dedup` does not keep.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Column | None = None, counters: int = 1024) -> DataFrame:
+    """``docs`` with all its columns, one row of each group of equal texts: the one that :func:`exact_dedup` keeps.
 
-    Only the ids of dropped rows meet the texts again. Rows without an id are never dropped by id.
+    A verdict is of an id and its text, so another text with the same id has its own. Of rows that repeat id and text
+    one stays, and of a group without any id one row. Nulls are empty texts. See :func:`keep_rows` for what meets the texts.
     """
-    dropped = exact_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(dropped.hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
+    normal = text_or_empty(text_col) if normalise is None else F.coalesce(normalise, F.lit(""))
+    verdicts = _verdicts(docs.select(F.col(id_col).alias("doc_id"), normal.alias("text"), text_key(text_col).alias("key")), counters, "key")
+    return keep_rows(docs, verdicts.select("doc_id", "key", F.col("kept").alias("stays")), id_col, text_col)

@@ -6,6 +6,7 @@ the folder that the session names in ``spark.checkpoint.dir``; nothing lives on
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ _OWN_ROOT: dict[str, str] = {}
 def workspace(spark: SparkSession) -> str:
     """The URI of this application's folder below ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a temporary folder.
+    Only a session on one machine gets a temporary folder without that setting; on a cluster it must name a shared one.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if sc.applicationId not in _OWN_ROOT:
             _OWN_ROOT[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="filigraph-")
         root = _OWN_ROOT[sc.applicationId]
@@ -42,6 +45,53 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of up to so many rows of a few numbers may be broadcast; longer ones are shuffled.
+SMALL_ROWS = 500_000
+
+
+def sized(table: DataFrame, rows: int, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """A table of ``rows`` (counted) narrow rows for the smaller side of a join: broadcast if small, else hashed by the join's key."""
+    return F.broadcast(table) if rows <= small_rows else table.hint("shuffle_hash")
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, hottest: int = 1024) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per ``key`` and in ``n`` how many rows have it.
+
+    The ``hottest`` keys at most, those of more than one row in ``hottest`` thousand, meet their rows by broadcast, all others by shuffle.
+    """
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    is_hot = (F.col("n") >= 1000) & (F.col("n") * hottest > total)
+    hot, cold = table.where(is_hot).drop("n"), table.where(~is_hot).drop("n")
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))
+
+
+def text_key(column: str = "text") -> Column:
+    """64 bits of a text, which with a document's id name its rows."""
+    return F.xxhash64(text_or_empty(column))
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_rows: int = SMALL_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose id and text ``verdicts`` let stay; of rows that repeat both, one.
+
+    ``verdicts`` has ``doc_id, key`` (:func:`text_key`) ``, stays``, a row for each of ``docs`` or of those that don't simply stay. Only (id, key) of rows that go or
+    repeat meet the texts: broadcast if they are few, else by a shuffle on both. Ids may be null.
+    """
+    marks = verdicts.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    marks = cut(marks.drop("n"), "marks")
+    sizes = {r["stays"]: r["n"] for r in marks.groupBy("stays").agg(F.count(F.lit(1)).alias("n")).collect()}
+    columns, key = [docs[c] for c in docs.columns], F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    same = lambda m: docs[id_col].eqNullSafe(m["doc_id"]) & (key == m["key"])
+    out = docs.join(sized(marks, sum(sizes.values()), small_rows), same(marks), "left_anti").select(columns)
+    if not sizes.get(True):
+        return out
+    repeated = marks.where("stays")
+    again = docs.join(sized(repeated, sizes[True], small_rows), same(repeated))
+    row = F.struct(*columns)
+    one = again.groupBy(repeated["doc_id"], repeated["key"]).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return out.unionAll(one.select("row.*"))
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's work tables. Results that read them must be consumed before."""
     jvm = spark.sparkContext._jvm

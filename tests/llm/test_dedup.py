@@ -49,3 +49,24 @@ def test_drop_copies_keeps_columns(spark):
     out = exact_dedup.drop_copies(frame(spark, [(1, "a"), (2, "a"), (3, None), (4, "")]))
     assert out.columns == ["doc_id", "text", "lang", "source", "digest", "kept"]
     assert sorted(r["doc_id"] for r in out.collect()) == [2, 4]
+
+
+def brute_drop(rows):
+    """One row of each text, by the largest id that is not null."""
+    best = {}
+    for i, t in rows:
+        t = t or ""
+        best[t] = i if t not in best or best[t] is None or (i is not None and i > best[t]) else best[t]
+    return sorted(map(repr, ((i, t) for t, i in best.items())))
+
+
+@pytest.mark.parametrize("small_rows", [0, 1000])
+def test_drop_copies_by_row(spark, monkeypatch, small_rows):
+    from filigraph.llm import shared
+
+    monkeypatch.setattr(exact_dedup, "keep_rows", lambda d, v, i, t: shared.keep_rows(d, v, i, t, small_rows))
+    rows = [(1, "a"), (1, "b"), (2, "a"), (5, "q"), (5, "q"), (None, "n"), (None, "n"), (None, "a"), (None, "q"), (7, None), (8, ""), (8, ""), (9, "long " * 20_000), (9, "x")]
+    docs = frame(spark, rows).withColumnsRenamed({"kept": "key", "lang": "stays"})
+    out = exact_dedup.drop_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(repr((r["doc_id"], r["text"] or "")) for r in out.collect()) == brute_drop(rows)
