@@ -23,9 +23,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigraph.llm.shared import cut, new_path
+from filigraph.llm.shared import SMALL_ROWS, cut, new_path
 
+#: The members that the writer makes. Readers take any names in these folders.
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: An index may have a list of its blocks beside it, so that a reader of some records needn't read all of it.
+BLOCKS, INDEX_BLOCK = ".blocks", 2000
 _MAX32, _MAX16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -176,24 +179,30 @@ def parse(data: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(page_id, refers_to) of the rows that revisit: equal payloads of ``min_bytes`` or more, all but the largest id."""
+    """(digest, last_id, n) of the payloads of ``min_bytes`` or more that several rows have; the row with the largest id is stored."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    sizes = cut(pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size")), "payloads").where(
-        F.col("size") >= min_bytes
-    )
-    group = sizes.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return sizes.join(group, "digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    sizes = pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= min_bytes)
+    return cut(sizes.groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count(F.lit(1)).alias("n")).where("n > 1"), "payload_groups")
 
 
-def write_packages(pages: DataFrame, path: str, min_bytes: int = 1000, max_bytes: int = 1 << 30) -> DataFrame:
+def write_packages(pages: DataFrame, path: str, min_bytes: int = 1000, max_bytes: int = 1 << 30, small_rows: int = SMALL_ROWS) -> DataFrame:
     """Writes packages of about ``max_bytes`` below ``path``; returns the written list (package, records).
 
-    ``path`` is a URI that the executors share. A task that is run again writes under a new
-    name, and only the packages of tasks that succeeded are in the list.
+    A row refers to another by its own payload, so ids may repeat with different payloads. Pages are shuffled, by digest, only
+    if more than ``small_rows`` payloads have copies; the most frequent of these still go by broadcast. ``path`` is a URI that the
+    executors share. A task that is run again writes under a new name, and only the packages of tasks that succeeded are in the list.
     """
-    revisits = plan_records(pages, min_bytes)
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.join(revisits.hint("shuffle_hash"), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    groups = plan_records(pages, min_bytes)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("digest"))
+    if groups.count() <= small_rows:
+        rows = rows.join(F.broadcast(groups), "digest", "left")
+    else:
+        top = F.broadcast(groups.orderBy(F.desc("n"), "digest").limit(1024))
+        rest = rows.join(top.select("digest"), "digest", "left_anti").join(groups.hint("shuffle_hash"), "digest", "left")
+        rows = rows.join(top, "digest").unionByName(rest)
+    # a digest of a short payload is in no group
+    rows = rows.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("last_id"), F.col("last_id")).alias("refers_to"))
     date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +213,14 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 1000, max_bytes
         def finish() -> None:
             zip_file.end()
             zip_file.begin(INDEX)
-            for line in index:
-                zip_file.data(line)
+            blocks = []
+            for first in range(0, len(index), INDEX_BLOCK):
+                block = b"".join(index[first : first + INDEX_BLOCK])
+                blocks.append({"first": first, "offset": zip_file.member[3], "length": len(block)})
+                zip_file.data(block)
+            zip_file.end()
+            zip_file.begin(INDEX + BLOCKS)
+            zip_file.data("".join(json.dumps(b) + "\n" for b in blocks).encode())
             zip_file.end()
             zip_file.close()
             zip_file.out.close()
@@ -221,7 +236,7 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 1000, max_bytes
                     data = record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date)
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                     packed = packer.compress(data) + packer.flush()
-                    index.append(f"{_header_value(row['url'] or '-')} {json.dumps({'offset': zip_file.member[3], 'length': len(packed)})}\n".encode())
+                    index.append(f"{_header_value(row['url'] or '-')} {json.dumps({'filename': ARCHIVE.rpartition('/')[2], 'offset': zip_file.member[3], 'length': len(packed)})}\n".encode())
                     zip_file.data(packed)
                     if zip_file.at >= max_bytes:
                         finish()
@@ -257,30 +272,67 @@ def read_packages(packages: DataFrame, path: str, with_payload: bool = True, rec
     return runs.repartition(tasks, "package", "first").mapInArrow(read, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
+def index_lines(file, listing: Member, blocks: Member | None, first: int, count: int | None) -> list[bytes]:
+    """The lines ``first`` to ``first + count`` of an index, by its blocks if it lists them."""
+    start, last = data_offset(file, listing), None if count is None else first + count
+    if blocks is None:
+        return file.read_at(listing.size, start).splitlines()[first:last]
+    listed = [json.loads(x) for x in file.read_at(blocks.size, data_offset(file, blocks)).splitlines()]
+    ends = [b["first"] for b in listed[1:]] + [None]
+    wanted = [b for b, end in zip(listed, ends) if (end is None or end > first) and (last is None or b["first"] < last)]
+    if not wanted:
+        return []
+    low, high = wanted[0]["offset"], wanted[-1]["offset"] + wanted[-1]["length"]
+    skipped = wanted[0]["first"]
+    return file.read_at(high - low, start + low).splitlines()[first - skipped : None if last is None else last - skipped]
+
+
 def package_records(file, first: int = 0, count: int | None = None, read_bytes: int = 4 << 20) -> Iterator[list[dict]]:
-    """Lists of parsed records of one open package, in index order, by reads of about ``read_bytes``."""
+    """Lists of parsed records of one open package, by reads of about ``read_bytes``.
+
+    All indexes below ``indexes/`` are followed in the order of their names, each line to the archive that it names (the only one, if it names none);
+    ``first`` and ``count`` number the lines of all indexes.
+    """
     members = {m.name: m for m in central_directory(file, file.size())}
-    data, listing = members[ARCHIVE], members[INDEX]
-    start = data_offset(file, data)
-    lines = file.read_at(listing.size, data_offset(file, listing)).splitlines()[first : None if count is None else first + count]
-    where = sorted((e["offset"], e["length"]) for e in (json.loads(line.partition(b" ")[2]) for line in lines))
-    while where:
-        n = 1
-        while n < len(where) and where[n][0] + where[n][1] - where[0][0] <= read_bytes:
-            n += 1
-        low, high = where[0][0], where[n - 1][0] + where[n - 1][1]
-        if high > data.size:
-            raise ArchiveError("the index points behind the archive")
-        block = file.read_at(high - low, start + low)
-        yield [parse(zlib.decompress(block[o - low : o - low + k], 31)) for o, k in where[:n]]
-        where = where[n:]
+    archives = {n.removeprefix("archive/"): m for n, m in members.items() if n.startswith("archive/") and not n.endswith("/")}
+    indexes = sorted(n for n in members if n.startswith("indexes/") and not n.endswith(("/", BLOCKS)))
+    if not archives or not indexes:
+        raise ArchiveError("no archive or no index")
+    lines: list[bytes] = []
+    if len(indexes) == 1:
+        lines = index_lines(file, members[indexes[0]], members.get(indexes[0] + BLOCKS), first, count)
+    else:
+        for name in indexes:
+            lines += index_lines(file, members[name], None, 0, None)
+        lines = lines[first : None if count is None else first + count]
+    entries = [json.loads(line[line.index(b"{") :]) for line in lines if b"{" in line]
+    only = next(iter(archives)) if len(archives) == 1 else None
+    by_archive: dict[str, list[tuple[int, int]]] = {}
+    for e in entries:
+        name = e.get("filename", only)
+        if name not in archives:
+            raise ArchiveError(f"the index names {name}, which isn't there")
+        by_archive.setdefault(name, []).append((int(e["offset"]), int(e["length"])))
+    for name, where in sorted(by_archive.items()):
+        data, start = archives[name], data_offset(file, archives[name])
+        where.sort()
+        while where:
+            n = 1
+            while n < len(where) and where[n][0] + where[n][1] - where[0][0] <= read_bytes:
+                n += 1
+            low, high = where[0][0], where[n - 1][0] + where[n - 1][1]
+            if high > data.size:
+                raise ArchiveError("the index points behind the archive")
+            block = file.read_at(high - low, start + low)
+            yield [parse(zlib.decompress(block[o - low : o - low + k], 31)) for o, k in where[:n]]
+            where = where[n:]
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Archives all pages and returns what reading the archives gives, without the payloads.
 
-    A null html is the empty payload, a null url gives a record without one. Rows without a
-    page_id are always responses; rows that repeat id and payload are alike. No pages, no rows.
+    A null html is the empty payload, a null url gives a record without one. Rows without a page_id are always
+    responses; rows that repeat id and payload are alike, and rows of one id with different payloads have their own records. No pages, no rows.
     """
     path = new_path(pages.sparkSession, "archives")
     packages = write_packages(pages, path, min_bytes)

@@ -82,3 +82,58 @@ def test_round_trip_of_all_kinds(spark, tmp_path):
 def test_query_equals_sql(spark, sf):
     assert_same(queries.op2_warc(spark, sf), queries.OP2_SQL, sf)
     assert_same(queries.op3_exact_dedup(spark, sf), queries.OP3_SQL, sf)
+
+
+@pytest.mark.parametrize("small_rows", [0, 100])
+def test_repeated_ids_lose_no_payload(spark, tmp_path, small_rows):
+    x, y = "x" * 1200, "y" * 1500
+    rows = [(1, x), (1, "small other text"), (2, x), (3, y), (3, x), (4, y), (None, x), (3, x)]
+    pages = spark.createDataFrame([(i, "u", h, "c", 1) for i, h in rows], SCHEMA)
+    path = f"file://{tmp_path}/zips"
+    back = warc.read_packages(warc.write_packages(pages, path, small_rows=small_rows), path).collect()
+    last = {x: 3, y: 4}
+    want = [(i, hashlib.sha1(h.encode()).hexdigest(), last[h] if h in last and i is not None and i < last[h] else None) for i, h in rows]
+    assert sorted(map(repr, ((r["page_id"], r["payload_digest"], r["refers_to"]) for r in back))) == sorted(map(repr, want))
+    stored = {(r["page_id"], bytes(r["payload"]).decode()) for r in back if r["record_type"] == "response"}
+    assert {(1, "small other text"), (3, x), (4, y), (None, x)} == stored
+
+
+def test_blocks_of_the_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "INDEX_BLOCK", 3)
+    out = io.BytesIO()
+    z = warc.ZipWriter(out)
+    z.begin(warc.INDEX)
+    for block in (b"a {1}\nb {2}\nc {3}\n", b"d {4}\n"):
+        z.data(block)
+    z.end()
+    z.begin(warc.INDEX + warc.BLOCKS)
+    z.data(b'{"first": 0, "offset": 0, "length": 18}\n{"first": 3, "offset": 18, "length": 6}\n')
+    z.end()
+    z.close()
+    file = Bytes(out.getvalue())
+    listing, blocks = warc.central_directory(file, file.size())
+    lines = [b"a {1}", b"b {2}", b"c {3}", b"d {4}"]
+    for first in range(5):
+        for count in (None, 1, 2, 4):
+            want = lines[first:] if count is None else lines[first : first + count]
+            assert warc.index_lines(file, listing, blocks, first, count) == want == warc.index_lines(file, listing, None, first, count)
+
+
+def test_package_with_several_archives():
+    out, index = io.BytesIO(), b""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, ids in (("one.warc.gz", (1, 2)), ("two.warc.gz", (3,))):
+            data = b""
+            for i in ids:
+                packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                packed = packer.compress(warc.record(i, "http://x", b"p%d" % i, None, "d")) + packer.flush()
+                index += b'com,x)/ 2024 {"offset": "%d", "length": "%d", "filename": "%s"}\n' % (len(data), len(packed), name.encode())
+                data += packed
+            z.writestr(f"archive/{name}", data)
+        z.writestr("indexes/all.cdxj", b"!meta line\n" + index)
+    got = [r for rows in warc.package_records(Bytes(out.getvalue())) for r in rows]
+    assert [(r["page_id"], r["payload"]) for r in got] == [(1, b"p1"), (2, b"p2"), (3, b"p3")]
+    with pytest.raises(warc.ArchiveError):
+        empty = io.BytesIO()
+        zipfile.ZipFile(empty, "w").close()
+        list(warc.package_records(Bytes(empty.getvalue())))
