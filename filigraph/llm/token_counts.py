@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigraph.llm.shared import cut, text_or_empty
+from filigraph.llm.shared import SMALL_ROWS, cut, look_up, sized, text_or_empty
 
 #: The split of byte-level vocabularies, a fixed value of their format, with letters and digits as far as _PLAIN goes.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -101,11 +101,31 @@ def encode_misses(texts: DataFrame, path: str) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(run, "digest binary, n_tokens long")
 
 
+def texts_of_misses(texts: DataFrame, digests: DataFrame, stored: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """(digest, text), one row for each of ``digests`` (digest, n) that ``stored`` lacks.
+
+    A missing digest of one row is encoded where its text is read. Of one with more rows each task sends one text at most, and the least stays. The rows to
+    encode are told by the shorter list of two, those that are single misses and those that are not, by broadcast; if both are long, texts are shuffled.
+    """
+    known = stored.select("digest", F.lit(True).alias("known"))
+    state = cut(digests.join(known, "digest", "left").select("digest", (F.col("known").isNull() & (F.col("n") == 1)).alias("single"), (F.col("known").isNull() & (F.col("n") > 1)).alias("several")), "misses")
+    sizes = state.agg(F.count_if("single").alias("single"), F.count_if(~F.col("single")).alias("other"), F.count_if("several").alias("several")).first()
+    others, singles = state.where(~F.col("single")).select("digest"), state.where("single").select("digest")
+    if sizes["other"] <= small_rows:
+        alone = texts.join(F.broadcast(others), "digest", "left_anti")
+    else:
+        alone = texts.join(sized(singles, sizes["single"], small_rows), "digest", "left_semi")
+    if not sizes["several"]:
+        return alone
+    copies = texts.join(sized(state.where("several").select("digest"), sizes["several"], small_rows), "digest", "left_semi")
+    return alone.unionByName(copies.groupBy("digest").agg(F.min("text").alias("text")))
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` per input row, by whole texts.
 
-    The content is digested as it is, since byte-level vocabularies tell all texts apart. A null
-    text is empty and has no tokens. Ids may be null or repeat. ``tokenizer_path`` must be readable on
+    The content is digested as it is, since byte-level vocabularies tell all texts apart. A null text is empty and has no
+    tokens. Ids may be null or repeat; a text is encoded once however many rows have it. ``tokenizer_path`` must be readable on
     every machine, ``cache_path`` is a URI that they share. Two runs that append the same digest do no harm.
     """
     spark = docs.sparkSession
@@ -113,11 +133,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     text = text_or_empty(text_col)
     digest = F.unhex(F.sha2(text, 256)).alias("digest")
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
-    missing = rows.join(stored_counts(spark, cache_path, tokenizer), "digest", "left_anti")
-    chosen = missing.groupBy("digest").agg(F.min("doc_id").alias("chosen_id")).withColumnRenamed("digest", "chosen_digest")
-    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), digest)
-    is_chosen = texts["doc_id"].eqNullSafe(F.col("chosen_id")) & (texts["digest"] == F.col("chosen_digest"))
-    encoded = encode_misses(texts.join(chosen.hint("shuffle_hash"), is_chosen, "left_semi"), tokenizer_path)
-    encoded.write.mode("append").parquet(f"{cache_path}/tokenizer={tokenizer}")
-    counted = rows.join(stored_counts(spark, cache_path, tokenizer), "digest")
+    digests = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "distinct_digests")
+    texts = texts_of_misses(docs.select(digest, text.alias("text")), digests, stored_counts(spark, cache_path, tokenizer))
+    encode_misses(texts, tokenizer_path).write.mode("append").parquet(f"{cache_path}/tokenizer={tokenizer}")
+    counted = look_up(rows, cut(digests.join(stored_counts(spark, cache_path, tokenizer), "digest"), "counts"), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

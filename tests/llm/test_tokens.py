@@ -111,3 +111,19 @@ def test_cache_encodes_only_misses(spark, tmp_path, monkeypatch):
     seen.clear()
     assert token_counts.count_tokens(docs, path, cache).count() == 6 and seen == [[]]
     assert token_counts.count_tokens(docs.where("false"), path, f"file://{tmp_path}/other").count() == 0
+
+
+@pytest.mark.parametrize("small_rows", [0, 3, 1000])
+def test_each_missing_text_is_encoded_once(spark, tmp_path, monkeypatch, small_rows):
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    rows = [(None, "copied text")] * 500 + [(7, "twice"), (7, "twice"), (8, None), (8, ""), (9, "alone"), (10, "stored"), (10, "other of one id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS single").repartition(5)
+    seen, encode, choose = [], token_counts.encode_misses, token_counts.texts_of_misses
+    monkeypatch.setattr(token_counts, "texts_of_misses", lambda t, d, s: choose(t, d, s, small_rows))
+    monkeypatch.setattr(token_counts, "encode_misses", lambda texts, p: encode(seen.append(sorted(r["text"] for r in texts.collect())) or texts, p))
+    assert token_counts.count_tokens(docs.where("text = 'stored'"), path, cache).count() == 1
+    out = token_counts.count_tokens(docs, path, cache).collect()
+    assert seen == [["stored"], ["", "alone", "copied text", "other of one id", "twice"]] and len(out) == len(rows)
+    plain = Tokenizer.from_file(path)
+    want = sorted(repr((i, len((t or "").encode()), len(plain.encode(t or "", add_special_tokens=False)))) for i, t in rows)
+    assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_tokens"])) for r in out) == want
