@@ -89,3 +89,37 @@ def test_sizes_equal_sql(spark, sf):
 def test_native_plan(spark, sf):
     plan = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("small_rows", [0, 1000])
+def test_apply_by_row_takes_what_the_mix_takes(spark, small_rows):
+    rows = [(7, "w " * (1 + i % 13), "s") for i in range(300)] + [(None, "a b", None)] * 150 + [(i, "c d e", "t") for i in range(1000, 1090)] + [(8, None, "t"), (8, "", "t"), (8, "x", "t")]
+    docs = frame(spark, rows).withColumnsRenamed({"size": "col", "block": "key"}).cache()
+    mixed, out = mixing.mix(docs).collect(), mixing.apply_mix(docs, small_rows)
+    assert out.columns == docs.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        got[(r["doc_id"], r["source"], len((r["text"] or "").split()))] += 1
+    want = defaultdict(int)
+    for r in mixed:
+        want[(r["doc_id"], r["source"], r["size"])] += r["taken"] // r["size"] if r["size"] else 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert sum(k[2] * n for k, n in got.items()) == sum(r["taken"] for r in mixed)
+
+
+def test_repeated_rows_are_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_RUN", 100)
+    rows = mixing.numbered(spark.createDataFrame([(None, "s", 5)] * 640 + [(1, "s", 5), (1, None, 5), (1, None, 5)], "doc_id long, source string, size long"))
+    got = sorted(map(repr, map(tuple, rows.collect())))
+    assert got == sorted(map(repr, [(None, "s", 5, i) for i in range(640)] + [(1, "s", 5, 0), (1, None, 5, 0), (1, None, 5, 1)]))
+    from pyspark.sql import functions as F
+
+    sizes = [r["count"] for r in rows.where("doc_id is null").groupBy(F.pmod(F.xxhash64(*mixing._NAME), F.lit(20)).alias("b")).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 64
+
+
+def test_ranks(spark):
+    names = [f"n{i * 7919 % 1000:04d}" for i in range(1000)] + [None]
+    out = mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string"), "source", "place").collect()
+    order = sorted(n for n in names if n is not None) + [None]
+    assert {r["source"]: r["place"] for r in out} == {n: i for i, n in enumerate(order)}
