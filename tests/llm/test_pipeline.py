@@ -1,7 +1,7 @@
 import corpus_pipeline
 from filigraph.llm import mixing, toxicity
 from filigraph.llm.queries import queries
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_near_copies import brute_kept
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -18,8 +18,7 @@ def test_stages_against_brute_force(spark, sf):
         last[r["text"] or ""] = max(r["doc_id"], last.get(r["text"] or "", -1))
     assert {r["doc_id"] for r in second.collect()} == set(last.values())
     third = stage["simhash"](spark, second, sf).cache()
-    groups = brute_components({r["doc_id"]: brute_print(r["text"]) for r in second.collect()})
-    assert {r["doc_id"] for r in third.collect()} == set(groups.values()) and third.columns == docs.columns
+    assert {r["doc_id"] for r in third.collect()} == brute_kept({r["doc_id"]: r["text"] or "" for r in second.collect()}) and third.columns == docs.columns
     fourth = stage["mixing"](spark, third, sf).cache()
     times = {r["doc_id"]: r["taken"] // r["size"] if r["size"] else 1 for r in mixing.mix(third).collect()}
     got = {}
