@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from filigraph.llm import exact_dedup, mixing, near_copies, pieces, toxicity
+from filigraph.llm import exact_dedup, mixing, pieces, simhash, toxicity
 from filigraph.llm.shared import cut, documents
 from filigraph.session import ship
 
@@ -28,7 +28,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (0.8 or more of their five-word runs in common) the one with the smallest doc_id stays."""
     ship(spark)
-    return near_copies.drop_near_copies(docs, shingle=5, similarity=0.8)
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
