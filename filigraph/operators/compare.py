@@ -25,7 +25,7 @@ def heatmap(companies: DataFrame, scores: DataFrame, shown: list[str], dimension
 
     ``order`` is "high" or "low" by total, or "ticker"; ties go by ticker.
     """
-    chosen = in_categories(companies, categories or ["All"])
+    chosen = in_categories(companies, ["All"] if categories is None else categories)
     full = dense(chosen, scores, dimensions)
     wide = full.groupBy("ticker").agg(F.sum("score").alias("total"), *[F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(d) for d in shown])
     if not shown:

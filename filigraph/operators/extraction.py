@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigraph import schemas
-from filigraph.functions.text import once, slug, strip, words
+from filigraph.functions.text import let, once, slug, strip, words
 from filigraph.operators.lexicon import Lexicon
 
 _NODE_COLUMNS = [x.split()[0] for x in schemas.NODE.split(", ")]
@@ -18,37 +18,36 @@ _NODE_COLUMNS = [x.split()[0] for x in schemas.NODE.split(", ")]
 
 def mission(text: Column, lexicon: Lexicon) -> Column:
     """The first rule's hit in lower-case text, else the first sentence of more than 40 characters; 500 at most."""
-    lower = F.lower(text)
-    rules = [F.nullif(F.regexp_extract(lower, f"(?U){p}", 1), F.lit("")) for p in lexicon.missions]
+    rules = lambda lower: [F.nullif(F.regexp_extract(lower, f"(?U){p}", 1), F.lit("")) for p in lexicon.missions]
+    said = let(F.lower(text), lambda lower: F.coalesce(*[F.substring(strip(r), 1, 500) for r in rules(lower)]))
     sentence = F.get(F.filter(F.transform(F.split(text, "[.]"), strip), lambda s: F.length(s) > 40), F.lit(0))
-    return F.coalesce(*[F.substring(strip(r), 1, 500) for r in rules], F.substring(sentence, 1, 500))
+    return F.coalesce(said, F.substring(sentence, 1, 500))
 
 
 def sentence_around(text: Column, lower: Column, keyword: Column) -> Column:
     """The sentence around a keyword's first place; null where it is absent. Without a stop 201 characters follow."""
-    at = F.position(keyword, lower)
-    left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
-    right = F.substring(text, at, F.length(text))
-    tail = F.when(F.contains(right, F.lit(".")), F.concat(F.substring_index(right, ".", 1), F.lit("."))).otherwise(F.substring(right, 1, 201))
-    return F.when(at > 0, strip(F.concat(left, tail)))
+
+    def at_place(at: Column) -> Column:
+        left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
+        tail = let(F.substring(text, at, F.length(text)), lambda right: F.when(F.contains(right, F.lit(".")), F.concat(F.substring_index(right, ".", 1), F.lit("."))).otherwise(F.substring(right, 1, 201)))
+        return F.when(at > 0, strip(F.concat(left, tail)))
+
+    return let(F.position(keyword, lower), at_place)
 
 
 def objectives(text: Column, lexicon: Lexicon) -> Column:
     """array<struct<text, objective_type>>: for each type the first keyword with a sentence of more than 20 characters."""
-    lower = F.lower(text)
 
-    def of(kind: str, keywords: tuple[str, ...]) -> Column:
-        sentences = F.transform(F.array(*[F.lit(k) for k in keywords]), lambda k: sentence_around(text, lower, k))
-        first = F.get(F.filter(sentences, lambda s: F.length(s) > 20), F.lit(0))
-        return F.struct(F.substring(first, 1, 500).alias("text"), F.lit(kind).alias("objective_type"))
+    def of(kind: str, keywords: tuple[str, ...], lower: Column) -> Column:
+        long_one = lambda k: let(sentence_around(text, lower, F.lit(k)), lambda s: F.when(F.length(s) > 20, F.substring(s, 1, 500)))
+        return F.struct(F.coalesce(*[long_one(k) for k in keywords]).alias("text"), F.lit(kind).alias("objective_type"))
 
-    found = F.array(*[of(kind, keywords) for kind, keywords in lexicon.objectives.items()])
+    found = let(F.lower(text), lambda lower: F.array(*[of(kind, keywords, lower) for kind, keywords in lexicon.objectives.items()]))
     return F.slice(F.filter(found, lambda o: o["text"].isNotNull()), 1, lexicon.most_objectives)
 
 
 def capabilities(text: Column, lexicon: Lexicon) -> Column:
-    lower = F.lower(text)
-    found = F.filter(F.array(*[F.lit(k) for k in lexicon.capabilities]), lambda k: F.contains(lower, k))
+    found = let(F.lower(text), lambda lower: F.filter(F.array(*[F.lit(k) for k in lexicon.capabilities]), lambda k: F.contains(lower, k)))
     return F.transform(F.slice(found, 1, lexicon.most_capabilities), lambda k: F.struct(k.alias("name")))
 
 
@@ -60,9 +59,8 @@ def initiatives(text: Column, lexicon: Lexicon) -> Column:
 
 def risks(text: Column, lexicon: Lexicon) -> Column:
     """array<struct<name, risk_category>>: the first keyword of each category, the first categories."""
-    lower = F.lower(text)
-    first = lambda keywords: F.get(F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lower, k)), F.lit(0))
-    found = F.array(*[F.struct(first(keywords).alias("name"), F.lit(kind).alias("risk_category")) for kind, keywords in lexicon.risks.items()])
+    first = lambda keywords, lower: F.coalesce(*[F.when(F.contains(lower, F.lit(k)), F.lit(k)) for k in keywords])
+    found = let(F.lower(text), lambda lower: F.array(*[F.struct(first(keywords, lower).alias("name"), F.lit(kind).alias("risk_category")) for kind, keywords in lexicon.risks.items()]))
     return F.slice(F.filter(found, lambda r: r["name"].isNotNull()), 1, lexicon.most_risks)
 
 

@@ -43,9 +43,8 @@ def _text() -> Column:
 
 
 def _described(graph: Graph, prefix: str) -> DataFrame:
-    return graph.nodes.select(
-        F.col("id").alias(f"{prefix}"), F.coalesce("label", F.lit("Unknown")).alias(f"{prefix}_label"), _text().alias(f"{prefix}_text")
-    )
+    """Ids, labels (empty without one) and texts for joins."""
+    return graph.nodes.select(F.col("id").alias(f"{prefix}"), F.coalesce("label", F.lit("")).alias(f"{prefix}_label"), _text().alias(f"{prefix}_text"))
 
 
 def members(graph: Graph, seeds: DataFrame) -> DataFrame:
@@ -53,15 +52,15 @@ def members(graph: Graph, seeds: DataFrame) -> DataFrame:
     return seeds.join(graph.nodes, F.col("seed") == graph.nodes["id"], "left_semi")
 
 
-def one_hop(graph: Graph, seeds: DataFrame) -> DataFrame:
-    """``seed, n1, e1, o1`` (other columns of the seeds stay)."""
-    e = graph.edges.select(F.col("src").alias("seed"), F.col("dst").alias("n1"), F.coalesce("rel", F.lit("")).alias("e1"), F.col("ord").alias("o1"))
+def one_hop(graph: Graph, seeds: DataFrame, unnamed: str | None = "") -> DataFrame:
+    """``seed, n1, e1, o1`` (other columns of the seeds stay); ``unnamed`` stands for a missing relation."""
+    e = graph.edges.select(F.col("src").alias("seed"), F.col("dst").alias("n1"), F.coalesce("rel", F.lit(unnamed)).alias("e1"), F.col("ord").alias("o1"))
     return seeds.join(e, "seed")
 
 
-def next_hop(graph: Graph, paths: DataFrame, k: int, not_back_to: tuple[str, ...]) -> DataFrame:
+def next_hop(graph: Graph, paths: DataFrame, k: int, not_back_to: tuple[str, ...], unnamed: str | None = "") -> DataFrame:
     """Paths one edge longer: adds ``n{k}, e{k}, o{k}``, never back to the given vertices."""
-    e = graph.edges.select(F.col("src").alias(f"n{k - 1}"), F.col("dst").alias(f"n{k}"), F.coalesce("rel", F.lit("")).alias(f"e{k}"), F.col("ord").alias(f"o{k}"))
+    e = graph.edges.select(F.col("src").alias(f"n{k - 1}"), F.col("dst").alias(f"n{k}"), F.coalesce("rel", F.lit(unnamed)).alias(f"e{k}"), F.col("ord").alias(f"o{k}"))
     out = paths.join(e, f"n{k - 1}")
     for column in not_back_to:
         out = out.where(F.col(f"n{k}") != F.col(column))
@@ -78,19 +77,23 @@ def relevance(text: Column, topic: Column) -> Column:
 def search(graph: Graph, seeds: DataFrame, top_k: int = 10) -> DataFrame:
     """The ``top_k`` hits of each seed: neighbours scored against ``topic`` (if the seeds have it) and all two-hop ends.
 
-    ``seed, place, node_id, label, text, relation, score, path``; ties keep the order of the walk.
+    ``seed, place, node_id, label, text, relation, score, path``; ties keep the order of the walk. Two-hop ends score below
+    every neighbour, so only seeds with fewer than ``top_k`` neighbours are expanded a second time.
     """
     seeds = seeds if "topic" in seeds.columns else seeds.withColumn("topic", F.lit(None).cast("string"))
-    first = one_hop(graph, seeds).join(_described(graph, "n1"), "n1")
+    first = one_hop(graph, seeds, None).join(_described(graph, "n1"), "n1")
+    named = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown")).alias("label")
     near = first.select(
-        "seed", F.lit(1).alias("branch"), "o1", F.lit(None).cast("bigint").alias("o2"), F.col("n1").alias("node_id"), F.col("n1_label").alias("label"),
-        F.col("n1_text").alias("text"), F.col("e1").alias("relation"), relevance(F.col("n1_text"), F.col("topic")).alias("score"), F.lit(None).cast("string").alias("path"),
+        "seed", F.lit(1).alias("branch"), "o1", F.lit(None).cast("bigint").alias("o2"), F.col("n1").alias("node_id"), named("n1_label"),
+        F.col("n1_text").alias("text"), F.coalesce("e1", F.lit("")).alias("relation"), relevance(F.col("n1_text"), F.col("topic")).alias("score"), F.lit(None).cast("string").alias("path"),
     )
-    second = next_hop(graph, first, 2, ("seed",)).join(_described(graph, "n2"), "n2")
-    arrow = lambda e, n: F.concat(F.lit(" →["), F.col(e), F.lit("]→ "), F.col(n))
+    few = first.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < top_k).select("seed")
+    second = next_hop(graph, first.join(few, "seed", "left_semi"), 2, ("seed",), None).join(_described(graph, "n2"), "n2")
+    e1, e2 = (F.coalesce(e, F.lit("?")) for e in ("e1", "e2"))
+    arrow = lambda e, n: F.concat(F.lit(" →["), e, F.lit("]→ "), F.col(n))
     far = second.select(
-        "seed", F.lit(2).alias("branch"), "o1", "o2", F.col("n2").alias("node_id"), F.col("n2_label").alias("label"), F.col("n2_text").alias("text"),
-        F.concat_ws(" → ", "e1", "e2").alias("relation"), F.lit(0.4).alias("score"), F.concat(F.col("seed"), arrow("e1", "n1_label"), arrow("e2", "n2_label")).alias("path"),
+        "seed", F.lit(2).alias("branch"), "o1", "o2", F.col("n2").alias("node_id"), named("n2_label"), F.col("n2_text").alias("text"),
+        F.concat_ws(" → ", e1, e2).alias("relation"), F.lit(0.4).alias("score"), F.concat(F.col("seed"), arrow(e1, "n1_label"), arrow(e2, "n2_label")).alias("path"),
     )
     order = Window.partitionBy("seed").orderBy(F.desc("score"), "branch", "o1", "o2", "node_id")
     ranked = near.unionByName(far).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k)
@@ -121,13 +124,14 @@ def overview(graph: Graph, seeds: DataFrame, lists: dict[str, str] | None = None
     parts = first.groupBy("seed").agg(
         F.max_by("n1_text", F.when(F.col("n1_label") == single, F.col("o1"))).alias("mission"), *[texts(label).alias(c) for c, label in lists.items()], F.count(F.lit(1)).alias("near")
     )
-    second = next_hop(graph, one_hop(graph, seeds), 2, ("seed",))
-    reach = second.select("seed", F.col("n2").alias("n")).unionByName(one_hop(graph, seeds).select("seed", F.col("n1").alias("n")))
-    sizes = reach.where("n <> seed").groupBy("seed").agg(F.count_distinct("n").alias("others"))
-    two = second.groupBy("seed").agg(F.count(F.lit(1)).alias("far"))
+    hops = one_hop(graph, seeds.select("seed"))
+    reach = next_hop(graph, hops, 2, ("seed",)).select("seed", F.col("n2").alias("n"), F.lit(1).alias("far")).unionByName(hops.select("seed", F.col("n1").alias("n"), F.lit(0).alias("far")))
+    # by vertex first, so that a hub's paths are counted where they are found
+    ends = reach.groupBy("seed", "n").agg(F.sum("far").alias("far"))
+    sizes = ends.groupBy("seed").agg(F.count_if(F.col("n") != F.col("seed")).alias("others"), F.sum("far").alias("far"))
     names = graph.nodes.select(F.col("id").alias("seed"), F.coalesce(F.col("name"), F.substring_index("id", ":", -1)).alias("name"))
     empty = F.array().cast("array<string>")
-    joined = seeds.select("seed").join(names, "seed", "left").join(parts, "seed", "left").join(sizes, "seed", "left").join(two, "seed", "left")
+    joined = seeds.select("seed").join(names, "seed", "left").join(parts, "seed", "left").join(sizes, "seed", "left")
     known = F.col("name").isNotNull()
     return joined.select(
         F.substring_index("seed", ":", -1).alias("ticker"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("mission", F.lit("")).alias("mission"),
@@ -165,8 +169,8 @@ def induced(graph: Graph, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inside, out.join(inside.withColumnRenamed("id", "dst"), ["seed", "dst"], "left_semi").select("seed", "src", "dst", "rel", "ord")
 
 
-def connections(graph: Graph, most: int = 8) -> DataFrame:
-    """``id, place, line``: up to ``most`` lines for each node over the whole graph, edges in before edges out.
+def connections(graph: Graph, most: int = 8, ids: DataFrame | None = None) -> DataFrame:
+    """``id, place, line``: up to ``most`` lines for each node (or each of ``ids``) over the whole graph, edges in before edges out.
 
     The first lines are found in a window that keeps few rows per node, so hubs cost no more memory.
     """
@@ -174,7 +178,9 @@ def connections(graph: Graph, most: int = 8) -> DataFrame:
     into = graph.edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "rel", "ord", F.lit(0).alias("side"))
     out_of = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "rel", "ord", F.lit(1).alias("side"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("side", "ord", "other"))
-    top = into.unionByName(out_of).withColumn("place", place).where(F.col("place") <= most).join(label, "other", "left")
+    sides = into.unionByName(out_of)
+    sides = sides if ids is None else sides.join(ids.select("id").distinct(), "id", "left_semi")
+    top = sides.withColumn("place", place).where(F.col("place") <= most).join(label, "other", "left")
     kind, rel = F.coalesce("other_label", F.lit("")), F.coalesce("rel", F.lit("?"))
     line = F.when(F.col("side") == 0, F.concat(F.lit("  IN:  ["), kind, F.lit("] --"), rel, F.lit("--> this"))).otherwise(
         F.concat(F.lit("  OUT: this --"), rel, F.lit("--> ["), kind, F.lit("]"))
@@ -206,7 +212,7 @@ def triplets(graph: Graph, edges: DataFrame | None = None, size: int = 80, risk_
 def node_view(graph: Graph, ids: DataFrame, colors: dict[str, str], sizes: dict[str, int], default_color: str = "#95a5a6", default_size: int = 22, risk_names: dict[str, str] | None = None) -> DataFrame:
     """What a drawing shows of nodes: ``id, display`` (45 characters), ``color, size, tooltip`` with its connections."""
     lookup = lambda table, default: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("label")), F.lit(default))
-    lines = connections(graph).join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    lines = connections(graph, ids=ids).groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("lines"))
     rows = ids.select("id").distinct().join(graph.nodes, "id").join(lines, "id", "left").withColumn("label", F.coalesce("label", F.lit("Unknown")))
     raw = F.coalesce(first_filled(F.col("text"), F.col("name")), F.substring_index("id", ":", -1))
     named = F.when(F.col("label") == "RiskTheme", risk_name(raw, risk_names)).when(F.col("label") == "Capability", capability_name(raw)).otherwise(display(raw))
@@ -222,9 +228,9 @@ def edge_view(graph: Graph, edges: DataFrame | None = None, risk_names: dict[str
 
 
 def label_counts(graph: Graph, ids: DataFrame | None = None) -> DataFrame:
-    """``label, n`` of all nodes or of those with the given ids."""
+    """``label, n`` of all nodes or of those with the given ids, by label."""
     rows = graph.nodes if ids is None else graph.nodes.join(ids.select("id").distinct(), "id", "left_semi")
-    return rows.groupBy(F.coalesce("label", F.lit("Other")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.coalesce("label", F.lit("Other")).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("label")
 
 
 def relation_counts(graph: Graph, edges: DataFrame | None = None) -> DataFrame:

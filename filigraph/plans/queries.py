@@ -183,16 +183,17 @@ UNION ALL SELECT own, 'RiskTheme:' || doc_id || ':' || {_SLUG.format('risks[i].n
 
 
 def kg_triples_in_words(spark, sf_dir):
-    rows = _records(spark, sf_dir).select("Company.ticker", F.posexplode("Edges").alias("place", "t"))
-    return rows.groupBy(F.get("t", F.lit(1)).alias("rel")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("docs"))
+    rows = _records(spark, sf_dir).select(F.col("Company.ticker").cast("bigint").alias("doc_id"), F.posexplode("Edges").alias("place", "t"))
+    return rows.select("doc_id", "place", F.array_join("t", "|").alias("words"))
 
 
 KG_WORDS_SQL = REC_CTE + """
-, t AS (SELECT doc_id, 'hasMission' AS rel, CAST(mission IS NOT NULL AS INT) AS n FROM rec
-UNION ALL SELECT doc_id, 'statesObjective', len(objectives) FROM rec UNION ALL SELECT doc_id, 'buildsCapability', len(capabilities) FROM rec
-UNION ALL SELECT doc_id, 'supportsObjective', CASE WHEN len(objectives) > 0 THEN len(capabilities) ELSE 0 END FROM rec UNION ALL SELECT doc_id, 'pursues', len(initiatives) FROM rec
-UNION ALL SELECT doc_id, 'initiativeEnables', CASE WHEN len(capabilities) > 0 THEN len(initiatives) ELSE 0 END FROM rec UNION ALL SELECT doc_id, 'exposedTo', len(risks) FROM rec)
-SELECT rel, CAST(sum(n) AS BIGINT) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE n > 0 GROUP BY rel"""
+, t AS (SELECT doc_id, list_concat(CASE WHEN mission IS NOT NULL THEN ['Company|hasMission|Mission'] ELSE [] END,
+  list_transform(objectives, lambda o: 'Company|statesObjective|' || substr(o.text, 1, 50)),
+  flatten(list_transform(capabilities, lambda c: list_concat(['Company|buildsCapability|' || c], CASE WHEN len(objectives) > 0 THEN ['Capability|supportsObjective|' || substr(objectives[1].text, 1, 50)] ELSE [] END))),
+  flatten(list_transform(initiatives, lambda n: list_concat(['Company|pursues|' || n], CASE WHEN len(capabilities) > 0 THEN ['Initiative|initiativeEnables|' || capabilities[1]] ELSE [] END))),
+  list_transform(risks, lambda r: 'Company|exposedTo|' || r.name)) AS l FROM rec)
+SELECT doc_id, CAST(i - 1 AS INT) AS place, l[i] AS words FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM t)"""
 
 # --- pages ---------------------------------------------------------------------------------------
 
@@ -241,6 +242,10 @@ URL_SQL = """SELECT s_suppkey, 'https://files.example/data/' || ltrim(printf('%0
 # --- graph ---------------------------------------------------------------------------------------
 
 
+#: The graph of a folder of tables is loaded once an application, for all queries that read it.
+_GRAPHS: dict[tuple[str, str], Graph] = {}
+
+
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers and order states as a graph; a customer's many orders of a state are parallel edges."""
     region, nation, customer, orders = (_table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
@@ -254,7 +259,12 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     edges = nation.select(of("Region", "n_regionkey").alias("src"), of("Nation", "n_nationkey").alias("dst"), F.lit("hasNation").alias("rel"), F.col("n_nationkey").cast("bigint").alias("ord"))
     edges = edges.unionByName(customer.select(of("Nation", "c_nationkey").alias("src"), of("Customer", "c_custkey").alias("dst"), F.lit("hasCustomer").alias("rel"), F.col("c_custkey").cast("bigint").alias("ord")))
     edges = edges.unionByName(orders.select(of("Customer", "o_custkey").alias("src"), of("Status", "o_orderstatus").alias("dst"), F.concat(F.lit("ordered-"), F.substring("o_orderpriority", 1, 1)).alias("rel"), F.col("o_orderkey").alias("ord")))
-    return graphs.load(nodes, edges)
+    # an end that no table describes, by an edge without a relation
+    edges = edges.unionByName(nation.select(of("Nation", "n_nationkey").alias("src"), of("Ghost", "n_nationkey").alias("dst"), none.alias("rel"), F.lit(-1).cast("bigint").alias("ord")))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        _GRAPHS[key] = graphs.load(nodes, edges).cache()
+    return _GRAPHS[key]
 
 
 def _seeds(spark: SparkSession, sf_dir: str, topic: str | None = None) -> DataFrame:
@@ -267,17 +277,19 @@ WITH nodes AS MATERIALIZED (
   SELECT 'Region:' || r_regionkey AS id, 'Region' AS label, CAST(NULL AS VARCHAR) AS name, r_name AS text, r_regionkey AS ord FROM region
   UNION ALL SELECT 'Nation:' || n_nationkey, 'Mission', n_name, NULL, n_nationkey FROM nation
   UNION ALL SELECT 'Customer:' || c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Capability' ELSE 'RiskTheme' END, c_name, lower(c_mktsegment), c_custkey FROM customer
-  UNION ALL SELECT 'Status:' || s, 'Initiative', NULL, 'state ' || s, 0 FROM (VALUES ('F'), ('O'), ('P')) v(s)),
+  UNION ALL SELECT 'Status:' || s, 'Initiative', NULL, 'state ' || s, 0 FROM (VALUES ('F'), ('O'), ('P')) v(s)
+  UNION ALL SELECT 'Ghost:' || n_nationkey, NULL, NULL, NULL, NULL FROM nation),
 raw AS (
   SELECT 'Region:' || n_regionkey AS src, 'Nation:' || n_nationkey AS dst, 'hasNation' AS rel, n_nationkey AS ord FROM nation
   UNION ALL SELECT 'Nation:' || c_nationkey, 'Customer:' || c_custkey, 'hasCustomer', c_custkey FROM customer
-  UNION ALL SELECT 'Customer:' || o_custkey, 'Status:' || o_orderstatus, 'ordered-' || o_orderpriority[1], o_orderkey FROM orders),
+  UNION ALL SELECT 'Customer:' || o_custkey, 'Status:' || o_orderstatus, 'ordered-' || o_orderpriority[1], o_orderkey FROM orders
+  UNION ALL SELECT 'Nation:' || n_nationkey, 'Ghost:' || n_nationkey, NULL, -1 FROM nation),
 edges AS MATERIALIZED (SELECT src, dst, max_by(rel, ord) AS rel, min(ord) AS ord FROM raw GROUP BY src, dst),
-d AS (SELECT id, label, coalesce(nullif(text, ''), nullif(name, ''), '') AS shown FROM nodes),
+d AS (SELECT id, coalesce(label, '') AS label, coalesce(nullif(text, ''), nullif(name, ''), '') AS shown FROM nodes),
 seeds AS (SELECT 'Region:' || r_regionkey AS seed FROM region),
-h1 AS (SELECT seed, dst AS n1, rel AS e1, ord AS o1 FROM seeds JOIN edges ON src = seed),
-h2 AS (SELECT h1.*, dst AS n2, rel AS e2, ord AS o2 FROM h1 JOIN edges ON src = n1 WHERE dst <> seed),
-h3 AS (SELECT h2.*, dst AS n3, rel AS e3, ord AS o3 FROM h2 JOIN edges ON src = n2 WHERE dst <> seed AND dst <> n1)"""
+h1 AS (SELECT seed, dst AS n1, coalesce(rel, '') AS e1, ord AS o1 FROM seeds JOIN edges ON src = seed),
+h2 AS (SELECT h1.*, dst AS n2, coalesce(rel, '') AS e2, ord AS o2 FROM h1 JOIN edges ON src = n1 WHERE dst <> seed),
+h3 AS (SELECT h2.*, dst AS n3, coalesce(rel, '') AS e3, ord AS o3 FROM h2 JOIN edges ON src = n2 WHERE dst <> seed AND dst <> n1)"""
 
 
 def graph_one_hop_scored(spark, sf_dir):
@@ -296,8 +308,9 @@ def graph_search_topk(spark, sf_dir):
 
 SEARCH_SQL = GRAPH_CTE + f"""
 , hits AS (
-  SELECT seed, 1 AS branch, o1, NULL AS o2, n1 AS node_id, label, shown AS text, e1 AS relation, CAST({_SCORE} AS DOUBLE) AS score, NULL AS path FROM h1 JOIN d ON id = n1
-  UNION ALL SELECT seed, 2, o1, o2, n2, b.label, b.shown, e1 || ' → ' || e2, 0.4, seed || ' →[' || e1 || ']→ ' || a.label || ' →[' || e2 || ']→ ' || b.label FROM h2 JOIN d a ON a.id = n1 JOIN d b ON b.id = n2),
+  SELECT seed, 1 AS branch, o1, NULL AS o2, n1 AS node_id, coalesce(nullif(label, ''), 'Unknown') AS label, shown AS text, e1 AS relation, CAST({_SCORE} AS DOUBLE) AS score, NULL AS path FROM h1 JOIN d ON id = n1
+  UNION ALL SELECT seed, 2, o1, o2, n2, coalesce(nullif(b.label, ''), 'Unknown'), b.shown, coalesce(nullif(e1, ''), '?') || ' → ' || coalesce(nullif(e2, ''), '?'), 0.4,
+    seed || ' →[' || coalesce(nullif(e1, ''), '?') || ']→ ' || a.label || ' →[' || coalesce(nullif(e2, ''), '?') || ']→ ' || b.label FROM h2 JOIN d a ON a.id = n1 JOIN d b ON b.id = n2),
 r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, branch, o1, o2 NULLS FIRST, node_id) AS place FROM hits)
 SELECT seed, CAST(place AS INT) AS place, node_id, label, text, relation, score, path FROM r WHERE place <= 10"""
 
@@ -367,7 +380,7 @@ def _shown_sql(p: str) -> str:
 
 
 TRIPLET_SQL = INSIDE_CTE + f"""
-SELECT x.seed, e.ord, a.label AS subject_type, {_shown_sql('a')} AS subject, e.rel AS predicate, b.label AS object_type, {_shown_sql('b')} AS object
+SELECT x.seed, e.ord, a.label AS subject_type, {_shown_sql('a')} AS subject, coalesce(e.rel, '') AS predicate, b.label AS object_type, {_shown_sql('b')} AS object
 FROM edges e JOIN inside x ON x.id = e.src JOIN inside y ON y.id = e.dst AND y.seed = x.seed JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst"""
 
 
@@ -378,7 +391,7 @@ def in_out_neighbours_top8(spark, sf_dir):
 NEIGHBOUR_SQL = GRAPH_CTE + """
 , s AS (SELECT dst AS id, src AS other, rel, ord, 0 AS side FROM edges UNION ALL SELECT src, dst, rel, ord, 1 FROM edges),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY side, ord, other) AS place FROM s)
-SELECT r.id, CAST(place AS INT) AS place, CASE WHEN side = 0 THEN '  IN:  [' || label || '] --' || rel || '--> this' ELSE '  OUT: this --' || rel || '--> [' || label || ']' END AS line FROM r JOIN d ON d.id = r.other WHERE place <= 8"""
+SELECT r.id, CAST(place AS INT) AS place, CASE WHEN side = 0 THEN '  IN:  [' || label || '] --' || coalesce(rel, '?') || '--> this' ELSE '  OUT: this --' || coalesce(rel, '?') || '--> [' || label || ']' END AS line FROM r JOIN d ON d.id = r.other WHERE place <= 8"""
 
 
 def node_views(spark, sf_dir):
@@ -396,12 +409,12 @@ FROM d WHERE label IN ('Region', 'Mission') AND (label = 'Mission' OR id IN (SEL
 
 def edge_views(spark, sf_dir):
     g = star_graph(spark, sf_dir)
-    return graphs.edge_view(g).groupBy("subject_type", "predicate").agg(F.count(F.lit(1)).alias("n"), F.min("tooltip").alias("first"))
+    return graphs.edge_view(g).groupBy("subject_type", "predicate", F.md5("tooltip").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 EDGE_VIEW_SQL = GRAPH_CTE + f"""
-SELECT a.label AS subject_type, e.rel AS predicate, count(*) AS n,
-  min('TRIPLE' || chr(10) || 'Subject:   [' || a.label || '] ' || {_shown_sql('a')} || chr(10) || 'Predicate: ' || e.rel || chr(10) || 'Object:    [' || b.label || '] ' || {_shown_sql('b')}) AS first
+SELECT a.label AS subject_type, coalesce(e.rel, '') AS predicate,
+  md5('TRIPLE' || chr(10) || 'Subject:   [' || a.label || '] ' || {_shown_sql('a')} || chr(10) || 'Predicate: ' || coalesce(e.rel, '') || chr(10) || 'Object:    [' || b.label || '] ' || {_shown_sql('b')}) AS digest, count(*) AS n
 FROM edges e JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst GROUP BY ALL"""
 
 
@@ -409,14 +422,14 @@ def label_hist(spark, sf_dir):
     return graphs.label_counts(star_graph(spark, sf_dir))
 
 
-LABEL_SQL = GRAPH_CTE + "SELECT label, count(*) AS n FROM nodes GROUP BY label"
+LABEL_SQL = GRAPH_CTE + "SELECT coalesce(label, 'Other') AS label, count(*) AS n FROM nodes GROUP BY 1"
 
 
 def relation_hist(spark, sf_dir):
     return graphs.relation_counts(star_graph(spark, sf_dir))
 
 
-RELATION_SQL = GRAPH_CTE + "SELECT rel AS relation, count(*) AS n FROM edges GROUP BY rel"
+RELATION_SQL = GRAPH_CTE + "SELECT coalesce(rel, 'unknown') AS relation, count(*) AS n FROM edges GROUP BY 1"
 
 
 def graph_size(spark, sf_dir):
@@ -453,7 +466,7 @@ def selected_nodes(spark, sf_dir):
 
 PROP_NODES_SQL = GRAPH_CTE + "SELECT id FROM nodes WHERE text IN ('building', 'state P', 'ASIA')"
 PROP_EDGES_SQL = GRAPH_CTE + "SELECT src AS id FROM edges WHERE rel IN ('ordered-1', 'hasNation') UNION SELECT dst FROM edges WHERE rel IN ('ordered-1', 'hasNation')"
-SELECTED_SQL = GRAPH_CTE + "SELECT label IN ('Region', 'Mission') AS shown, count(*) AS n FROM nodes GROUP BY 1"
+SELECTED_SQL = GRAPH_CTE + "SELECT coalesce(label IN ('Region', 'Mission'), false) AS shown, count(*) AS n FROM nodes GROUP BY 1"
 
 
 def ontology_violations(spark, sf_dir):
@@ -462,7 +475,7 @@ def ontology_violations(spark, sf_dir):
 
 
 ONTOLOGY_SQL = GRAPH_CTE + """
-, f AS (SELECT e.rel, CASE WHEN e.rel NOT IN ('hasNation', 'hasCustomer', 'ordered-1', 'ordered-2') THEN 'undeclared relation' WHEN e.rel = 'hasCustomer' AND b.label <> 'Capability' THEN 'range'
+, f AS (SELECT e.rel, CASE WHEN coalesce(e.rel, '') NOT IN ('hasNation', 'hasCustomer', 'ordered-1', 'ordered-2') THEN 'undeclared relation' WHEN e.rel = 'hasCustomer' AND b.label <> 'Capability' THEN 'range'
   WHEN e.rel = 'ordered-2' AND a.label <> 'Capability' THEN 'domain' END AS fault FROM edges e JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst)
 SELECT rel, fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY ALL"""
 
@@ -497,8 +510,7 @@ PRE_SQL = f"SELECT e.vec_id, e.label, {_DOT.format('e', 'q')} AS score FROM embe
 def vector_topk_batch(spark, sf_dir):
     """Every 50th vector is a query against all vectors."""
     vectors = _table(spark, sf_dir, "embeddings")
-    queries = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in vectors.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()]
-    return retrieval.nearest_to_each(vectors, queries, 10)
+    return retrieval.nearest_to_each(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10)
 
 
 BATCH_SQL = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_DOT.format('e', 'q')} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
@@ -639,13 +651,13 @@ SELECT ord, dimension, {_ICON.format('s1')} AS score1, {_ICON.format('s2')} AS s
 def evidence_chain(spark, sf_dir):
     g = star_graph(spark, sf_dir)
     nations = _table(spark, sf_dir, "nation").select(F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
-    missions = _table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("seed"), F.col("n_name").alias("mission"))
+    missions = _table(spark, sf_dir, "nation").select(F.concat(F.lit("Nation:"), F.col("n_nationkey").cast("string")).alias("seed"), F.when(F.col("n_regionkey") < 3, F.col("n_name")).alias("mission"))
     return compare.evidence_chain(g, nations, missions)
 
 
 CHAIN_SQL = GRAPH_CTE + """
-, s AS (SELECT 'Nation:' || n_nationkey AS seed, CASE WHEN n_nationkey < 20 THEN n_name END AS mission FROM nation),
-x AS (SELECT seed, label, upper(shown[1]) || substr(shown, 2) AS item, row_number() OVER (PARTITION BY seed, label ORDER BY ord, dst) AS nth FROM s JOIN edges ON src = seed JOIN d ON id = dst),
+, s AS (SELECT 'Nation:' || n_nationkey AS seed, CASE WHEN n_regionkey < 3 THEN n_name END AS mission FROM nation),
+x AS (SELECT seed, label, upper(shown[1]) || substr(shown, 2) AS item, row_number() OVER (PARTITION BY seed, label ORDER BY ord, dst) AS nth FROM s JOIN edges ON src = seed JOIN d ON id = dst WHERE label <> ''),
 v AS (SELECT seed, CASE label WHEN 'Capability' THEN 3 ELSE 5 END AS step, string_agg(item, ' · ' ORDER BY nth) AS value FROM x WHERE nth <= CASE label WHEN 'Capability' THEN 4 ELSE 3 END GROUP BY ALL),
 l AS (SELECT CAST(i AS INT) AS step, ['Mission/Vision', 'Strategic Goals', 'Operational Capabilities', 'Initiatives', 'Risk Mitigation'][i] AS label FROM (SELECT unnest(range(1, 6)) AS i))
 SELECT s.seed, l.step, l.label, coalesce(CASE WHEN l.step = 1 THEN mission ELSE v.value END, '—') AS value FROM s CROSS JOIN l LEFT JOIN v ON v.seed = s.seed AND v.step = l.step"""
