@@ -274,8 +274,9 @@ class Shingler:
             return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
         if len(self.seen) > self.remembered:
             self.seen.clear()
-        self.seen.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) - self.seen.keys())
-        hashes = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+        seen = self.seen
+        seen.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) if w not in seen)
+        hashes = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
         total = np.zeros(len(words) - self.shingle + 1, np.uint64)
         for k in range(self.shingle):
             total = _mixed(total + hashes[k : k + len(total)], np.uint64(k), np.uint64(0x9E3779B97F4A7C15))
