@@ -123,26 +123,56 @@ def decode(data: bytes) -> dict[int, Stream]:
     return streams
 
 
-def read_media(data: bytes) -> tuple[bytes, dict]:
-    """The samples of the PCM stream and what its pages say: rate, packets, pages, seconds."""
+def packet_samples(stream: Stream) -> list[tuple[int, int]]:
+    """First and last sample (exclusive) of each data packet of a PCM stream, from the granule positions of its pages.
+
+    A page tells where its last finished packet ends; the packets before it on the page end as many samples earlier as the later ones have. Packets
+    that leave a gap or overlap raise :class:`OggError`.
+    """
+    found: list[tuple[int, int]] = []
+    end = None
+    for packet, granule in zip(reversed(stream.packets[1:]), reversed(stream.granules[1:])):
+        if granule >= 0 and end is not None and granule != end:
+            raise OggError("the granule positions don't fit the packets")
+        end = granule if granule >= 0 else end
+        if end is None:
+            raise OggError("the last packet has no granule position")
+        found.append((end - len(packet), end))
+        end -= len(packet)
+    if found and found[-1][0] != 0:
+        raise OggError("the first packet doesn't begin at zero")
+    return found[::-1]
+
+
+def sound_and_note(data: bytes) -> tuple[tuple[int, Stream], tuple[int, Stream], int]:
+    """The PCM stream and the comment stream, each with its serial number, and the sampling rate."""
     streams = decode(data)
-    sound = [s for s in streams.values() if s.packets and s.packets[0][:8] == b"PCM     "]
-    notes = [s for s in streams.values() if s.packets and s.packets[0] == b"NOTE\0"]
+    sound = [(k, s) for k, s in streams.items() if s.packets and s.packets[0][:8] == b"PCM     "]
+    notes = [(k, s) for k, s in streams.items() if s.packets and s.packets[0] == b"NOTE\0"]
     if len(sound) != 1 or len(notes) != 1:
         raise OggError("one PCM and one comment stream are expected")
-    rate = struct.unpack_from(">I", sound[0].packets[0], 16)[0]
-    samples = b"".join(sound[0].packets[1:])
-    if notes[0].packets[1] != b"LENGTH=" + str(len(samples)).encode() or max(sound[0].granules) != len(samples):
+    return sound[0], notes[0], struct.unpack_from(">I", sound[0][1].packets[0], 16)[0]
+
+
+def read_media(data: bytes) -> tuple[bytes, dict]:
+    """The samples of the PCM stream and what its pages say: rate, packets, pages, seconds, and when each packet begins and ends."""
+    (_, sound), (_, note), rate = sound_and_note(data)
+    samples = b"".join(sound.packets[1:])
+    places = packet_samples(sound)
+    seconds = places[-1][1] / rate if places else 0.0
+    if note.packets[1] != b"LENGTH=" + str(len(samples)).encode() or (places[-1][1] if places else 0) != len(samples):
         raise OggError("the sample count differs")
-    return samples, {"rate": rate, "packets": len(sound[0].packets) - 1, "pages": sum(s.pages for s in streams.values()), "seconds": max(sound[0].granules) / rate}
+    return samples, {"rate": rate, "packets": len(places), "pages": sound.pages + note.pages, "seconds": seconds, "times": [(a / rate, b / rate) for a, b in places]}
 
 
 def describe(samples: bytes, info: dict) -> str:
-    """Features of the signal: duration, mean, root mean square and zero crossings around the middle level."""
+    """Features of the signal: duration, when its last packet begins and how long packets are, mean, root mean square and zero crossings around the middle level."""
     x = np.frombuffer(samples, np.uint8).astype(np.int64)
     rms = float(np.sqrt(np.mean((x - 128.0) ** 2)))
     crossings = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
-    return f"rate={info['rate']};seconds={info['seconds']:.6f};packets={info['packets']};pages={info['pages']};mean={x.mean():.6f};rms={rms:.6f};peak={int(x.max())};crossings={crossings}"
+    times = info["times"]
+    longest = max(b - a for a, b in times)
+    return f"rate={info['rate']};seconds={info['seconds']:.6f};packets={info['packets']};last_start={times[-1][0]:.6f};longest={longest:.6f};pages={info['pages']};mean={x.mean():.6f};rms={rms:.6f};peak={int(x.max())};crossings={crossings}"
 
 
 def padded(text: str, unit: int = 64) -> tuple[int, bytes]:
@@ -185,6 +215,28 @@ def features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, schema)
 
 
+def packets(media: DataFrame) -> DataFrame:
+    """``doc_id, serial, stream, packet, start_s, end_s, n_bytes``: every data packet of both logical streams of a ``doc_id, media`` table, with its time in seconds.
+
+    Packets of the comment stream have the time of its granule position, which is zero. A null ``media`` gives no rows.
+    """
+    schema = "doc_id long, serial long, stream string, packet int, start_s double, end_s double, n_bytes long"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                doc_id, data = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                if data is None:
+                    continue
+                (serial, sound), (other, note), rate = sound_and_note(data)
+                rows = [(doc_id, serial, "pcm", i, a / rate, b / rate, b - a) for i, (a, b) in enumerate(packet_samples(sound))]
+                rows += [(doc_id, other, "comment", i, g / rate, g / rate, len(p)) for i, (p, g) in enumerate(zip(note.packets[1:], note.granules[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in schema.split(", ")])
+
+    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, schema)
+
+
 def ogg_features(docs: DataFrame) -> DataFrame:
     """Stores every text as Ogg in the shared folder, reads the stored bytes back and describes them.
 
