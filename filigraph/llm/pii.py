@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigraph.llm.shared import cut, text_or_empty
+from filigraph.llm.shared import cut, sized, text_key, text_or_empty
 
 #: Titles by grammatical gender, as written before a name.
 MALE = "Mr|Herr|Sr|Señor|Don|Monsieur|г-н|Κύριος"
@@ -45,7 +45,11 @@ PATTERNS = {
     "card": r"(?<![0-9-])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.?) {_NAME}(?: {_NAME})?",
 }
-ENTITY = "|".join(PATTERNS.values())
+#: The same patterns in this order, each behind a look at its first character; texts without an @ are read without the first.
+_OTHERS = rf"(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in ('ip', 'phone', 'ssn', 'card'))})|(?=[{''.join(sorted({t[0] for t in '|'.join((MALE, FEMALE, NEUTRAL)).split('|')}))}]){PATTERNS['name']}"
+ENTITY = f"{PATTERNS['email']}|{_OTHERS}"
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 #: An attempt of a name is so many times the attempt of its family name, plus that of its given name.
 _FAMILY = 64
 
@@ -100,9 +104,11 @@ def _ip(value: Column, key: str, tweak: Column) -> Column:
     octets = F.transform(F.split(value, "\\."), lambda c: F.coalesce(c.try_cast("int"), F.lit(0)))
     state = _let(octets, lambda o: F.struct((o[0] * 256 + o[1]).alias("a"), (o[2] * 256 + o[3]).alias("b")))
     mask = lambda turn, other: F.conv(F.substring(_stream(key, tweak, turn, other.cast("string")), 1, 4), 16, 10).cast("int")
+    # a lambda of two parameters would get the element's place as the second
+    left = lambda turn: lambda s: F.struct(((s["a"] + mask(turn, s["b"])) % 65536).alias("a"), s["b"].alias("b"))
+    right = lambda turn: lambda s: F.struct(s["a"].alias("a"), ((s["b"] + mask(turn, s["a"])) % 65536).alias("b"))
     for turn in range(2):
-        state = _let(state, lambda s, t=turn: F.struct(((s["a"] + mask(2 * t, s["b"])) % 65536).alias("a"), s["b"].alias("b")))
-        state = _let(state, lambda s, t=turn: F.struct(s["a"].alias("a"), ((s["b"] + mask(2 * t + 1, s["a"])) % 65536).alias("b")))
+        state = _let(_let(state, left(2 * turn)), right(2 * turn + 1))
     return _let(state, lambda s: F.concat_ws(".", *[x.cast("string") for x in (F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256)]))
 
 
@@ -133,8 +139,34 @@ def kind_of(value: Column) -> Column:
     return out
 
 
+def canonical(kind: Column, value: Column) -> Column:
+    """What all spellings of one value share: lower case for addresses of mail, the digits of a card, country code and national digits of a phone number.
+
+    A number in the national form with an area code in brackets has the country code 1.
+    """
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    whole = F.when(value.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits))
+    phone = _let(whole, lambda d: _let(F.regexp_extract(d, CALLING_CODE, 1), lambda code: F.concat(code, F.lit("|"), F.substring(d, F.length(code) + 1, F.length(d)))))
+    return F.when(kind == "email", F.lower(value)).when(kind == "phone", phone).when(kind == "card", digits).otherwise(value)
+
+
+def _poured(digits: Column, value: Column) -> Column:
+    """``value`` with its digits replaced by ``digits`` in turn."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
+    step = lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substring(digits, s["k"] + 1, F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
+    return F.aggregate(F.split(value, ""), start, step, lambda s: s["out"])
+
+
+def dressed(kind: Column, value: Column, stand_in: Column) -> Column:
+    """The surrogate of a canonical value in the spelling of one mention: its capitals, spaces, brackets and country code."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(stand_in), F.lit(1)))
+    capitals = F.array_join(F.transform(places, lambda i: F.when(F.substring(value, i, F.lit(1)).rlike("[A-Z]"), F.upper(F.substring(stand_in, i, F.lit(1)))).otherwise(F.substring(stand_in, i, F.lit(1)))), "")
+    phone = F.when(value.startswith("+"), F.replace(stand_in, F.lit("|"), F.lit(""))).otherwise(F.substring_index(stand_in, "|", -1))
+    return F.when((kind == "email") & (value != F.lower(value)), capitals).when(kind == "phone", _poured(phone, value)).when(kind == "card", _poured(stand_in, value)).otherwise(stand_in)
+
+
 def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """The stand-in of a value. All formats stay; a card number keeps its first digit and the state of its check
+    """The stand-in of a canonical value. All formats stay; a card number keeps its first digit and the state of its check
     digit, a phone number its country code, and an address of mail gets a reserved top-level domain."""
     tweak = F.concat(kind, F.lit(":"), attempt.cast("string"))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -144,15 +176,21 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     body = F.substring(value, F.lit(1), F.length(value) - 1)
     offset = F.right(value, F.lit(1)).try_cast("int") + _luhn(body)
     card = _let(F.concat(F.left(value, F.lit(1)), permuted(F.substring(body, F.lit(2), F.length(body)), key, F.concat(tweak, F.left(value, F.lit(1))))), lambda b: F.concat(b, F.pmod(offset - _luhn(b), F.lit(10)).cast("string")))
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    phone = F.concat(code, permuted(F.substring(value, F.length(code) + 1, F.length(value)), key, F.concat(tweak, code)))
+    code, national = F.substring_index(value, "|", 1), F.substring_index(value, "|", -1)
+    phone = F.concat(code, F.lit("|"), permuted(national, key, F.concat(tweak, code)))
     return F.when(kind == "email", email).when(kind == "ip", _ip(value, key, tweak)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", permuted(value, key, tweak)).otherwise(_name(value, key, attempt))
 
 
+def _found(text: Column) -> Column:
+    """All entities of a text, in its order."""
+    with_mail, others = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (ENTITY, _OTHERS))
+    return F.when(F.contains(text, F.lit("@")), with_mail).otherwise(others)
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(kind, value): the distinct entities of all texts."""
-    found = docs.select(F.explode(F.regexp_extract_all(text_or_empty(text_col), F.lit(ENTITY), F.lit(0))).alias("value")).distinct()
-    return found.select(kind_of(F.col("value")).alias("kind"), "value")
+    """(kind, value): the distinct entities of all texts, by their canonical values."""
+    found = docs.select(F.explode(_found(text_or_empty(text_col))).alias("value")).distinct()
+    return found.select(kind_of(F.col("value")).alias("kind"), "value").select("kind", canonical(F.col("kind"), F.col("value")).alias("value")).distinct()
 
 
 def settle(values: DataFrame, key: str, rounds: int = 12) -> DataFrame:
@@ -180,26 +218,53 @@ def settle(values: DataFrame, key: str, rounds: int = 12) -> DataFrame:
     raise RuntimeError("some surrogates still collide")
 
 
+#: A name in bare words, as a text that has it with a title mentions it again.
+_BARE_BEFORE, _BARE_AFTER = r"(?<![\p{L}])(?:", r")(?![\p{L}'’-])"
+
+
+def _untitled(name: Column) -> Column:
+    return F.substring(name, F.locate(" ", name) + 1, F.length(name))
+
+
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_entities, entities, text`` per input row: the whole text with surrogates for its entities.
 
-    ``entities`` lists (kind, surrogate) in the order of the text. Null texts stay null and empty ones
-    empty, with no entities. The key must be kept secret; with the same key reruns agree.
+    ``entities`` lists (kind, surrogate) in the order of the text. A name that a text has with a title is also replaced where the text has it bare, in full or by
+    its family name; other bare names are no entities. Null texts stay null and empty ones empty, with no entities;
+    ids may be null or repeat. The key must be kept secret; with the same key reruns agree.
     """
     settled = settle(entities(docs, text_col), key)
-    changed = settled.where("attempt > 0").select("value", "attempt")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
+    changed = settled.where("attempt > 0").select(F.concat_ws(":", "kind", "value").alias("named"), "attempt")
+    text = F.col(text_col).cast("string").alias("text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text, F.explode(F.array(F.coalesce(_found(F.col(text_col).cast("string")), F.array().cast("array<string>")))).alias("first_found"))
+    kind_and_value = lambda v: _let(kind_of(v), lambda k: F.struct(k.alias("kind"), canonical(k, v).alias("value")))
+    name_of = lambda kv: F.concat_ws(":", kv["kind"], kv["value"])
     if changed.isEmpty():
         rows = rows.withColumn("attempts", F.create_map().cast("map<string,int>"))
-    else:  # only the attempts of changed values meet their documents
-        touched = rows.select("doc_id", F.explode(found).alias("value")).distinct().join(changed, "value")
-        attempts = touched.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "attempt"))).alias("attempts")).withColumnRenamed("doc_id", "touched_id")
-        rows = rows.join(attempts.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("touched_id")), "left")
-    attempt = lambda v: F.coalesce(F.try_element_at(F.col("attempts"), v), F.lit(0))
-    stand_in = lambda v: _let(kind_of(v), lambda k: F.struct(k.alias("kind"), surrogate(k, v, key, attempt(v)).alias("surrogate")))
-    rows = rows.select("doc_id", "text", F.coalesce(F.transform(found, stand_in), F.array().cast("array<struct<kind:string,surrogate:string>>")).alias("entities"))
-    pieces = F.split("text", ENTITY, -1)
+    else:  # only the attempts of changed values meet their texts
+        named = F.explode(F.transform("first_found", lambda v: name_of(kind_and_value(v)))).alias("named")
+        touched = rows.select(text_key().alias("key"), named).distinct().join(changed, "named")
+        attempts = cut(touched.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("named", "attempt"))).alias("attempts")), "attempts")
+        rows = rows.join(sized(attempts, attempts.count()), text_key() == attempts["key"], "left").drop("key")
+    attempt = lambda kv: F.coalesce(F.try_element_at(F.col("attempts"), name_of(kv)), F.lit(0))
+    stand_in = lambda v: _let(kind_and_value(v), lambda kv: F.struct(kv["kind"].alias("kind"), _let(surrogate(kv["kind"], kv["value"], key, attempt(kv)), lambda s: dressed(kv["kind"], v, s)).alias("surrogate")))
+    none = "array<struct<value:string,kind:string,surrogate:string>>"
+    first = F.transform("first_found", lambda v: _let(stand_in(v), lambda s: F.struct(v.alias("value"), s["kind"].alias("kind"), s["surrogate"].alias("surrogate"))))
+    rows = rows.select("doc_id", "text", F.explode(F.array(F.when(F.size("first_found") > 0, first).otherwise(F.array().cast(none)))).alias("first"))
+    titled = F.filter("first", lambda e: e["kind"] == "name")
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    pair = lambda e: F.array(*[F.struct(f(e["value"]).alias("value"), e["kind"].alias("kind"), f(e["surrogate"]).alias("surrogate")) for f in (_untitled, last)])
+    rows = rows.withColumn("bare", F.explode(F.array(F.array_distinct(F.flatten(F.transform(titled, pair))))))
+    longest_first = F.transform(F.sort_array(F.transform(F.array_distinct(F.col("bare.value")), lambda b: F.struct((-F.length(b)).alias("n"), b.alias("b")))), lambda x: x["b"])
+    pattern = F.when(F.size("bare") > 0, F.concat(F.lit(f"{ENTITY}|{_BARE_BEFORE}"), F.array_join(longest_first, "|"), F.lit(_BARE_AFTER)))
+    rows = rows.withColumn("pattern", F.explode(F.array(pattern)))
+
+    by_pattern = lambda known, of_row: F.when(F.col("pattern").isNotNull(), of_row).otherwise(known)
+    known = F.concat("first", "bare")
+    again = F.transform(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)), lambda v: F.get(F.filter(known, lambda e: e["value"] == v), F.lit(0)))
+    shown = F.transform(by_pattern(F.col("first"), again), lambda e: F.struct(e["kind"].alias("kind"), e["surrogate"].alias("surrogate")))
+    rows = rows.select("doc_id", "text", "pattern", F.explode(F.array(shown)).alias("entities"))
+    pieces = by_pattern(F.split("text", ENTITY, -1), F.split("text", F.col("pattern"), -1))
     woven = F.array_join(F.flatten(F.zip_with(pieces, F.col("entities.surrogate"), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
     text = F.when(F.size("entities") > 0, woven).otherwise(F.col("text"))
     return rows.select("doc_id", F.size("entities").cast("long").alias("n_entities"), "entities", text.alias("text"))

@@ -1,3 +1,5 @@
+import regex
+
 from filigraph.llm import pii
 
 
@@ -24,3 +26,131 @@ def test_a_family_moves_as_a_whole(spark):
     taken = alone[0][-1]  # the surrogate is a name of the corpus as well
     (out,) = names(spark, f"Mr Smith, Mr John Smith, Mr {taken}, Mrs Smith")
     assert out[0][-1] == out[1][-1] == out[3][-1] != taken
+
+
+def rewritten(spark, *texts, key="k"):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in sorted(pii.pseudonymise(docs, key).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_bare_mentions_follow_the_titled_one(spark):
+    out, other = rewritten(spark, "Mr John Smith came. John Smith left, and Smith's dog; Smithson stayed, John too.", "John Smith was never introduced. Smith.")
+    name = out.split(" came.")[0].removeprefix("Mr ")
+    given, family = name.split(" ")
+    assert out == f"Mr {name} came. {name} left, and Smith's dog; Smithson stayed, John too." or out == f"Mr {name} came. {name} left, and {family}'s dog; Smithson stayed, John too."
+    assert "Smith" != family and given != "John" and other == "John Smith was never introduced. Smith."
+
+
+def test_spellings_of_one_value(spark):
+    (out,) = rewritten(spark, "Bob@Foo.com bob@foo.com BOB@foo.com | (212) 555-1234 +1 212 555 1234 +12125551234 +1-212-555-1234 | 4111 1111 1111 1111 4111-1111-1111-1111 4111111111111111 | +49 30 1234567 +49301234567")
+    mails, phones, cards, german = (part.split(" ") for part in out.split(" | "))
+    assert len({m.lower() for m in mails}) == 1 and mails[0][0].isupper() and mails[1].islower() and mails[2][:3].isupper()
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    text = " ".join(phones)
+    a, b, c, d = text[:14], text[15:30], text[31:43], text[44:]
+    assert digits(b) == digits(c) == digits(d) == "1" + digits(a) and digits(a) != "2125551234" and a[0] == "(" and c.startswith("+1") and d.count("-") == 3
+    assert len({digits(x) for x in (" ".join(cards)[:19], " ".join(cards)[20:39], " ".join(cards)[40:])}) == 1
+    assert digits("".join(german[:-1])) == digits(german[-1]) and german[0] == "+49"
+
+
+# --- the whole query against a version of its own, text by text ---------------------------------
+
+
+def plain_stream(tweak, other, turn):
+    import hashlib
+
+    return hashlib.sha256(f"k\u0001{turn}\u0001{tweak}\u0001{other}".encode()).hexdigest()
+
+
+def plain_shift(text, stream):
+    out = ""
+    for i, c in enumerate(text):
+        by = int(stream[i % 16 * 4 : i % 16 * 4 + 4], 16)
+        out += next((chr((ord(c) - base + by) % size + base) for base, size in pii.CLASSES if base <= ord(c) < base + size), c)
+    return out
+
+
+def plain_permuted(text, tweak):
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in (1, 2):
+        a = plain_shift(a, plain_stream(f"{tweak}{i}", b, 0))
+        b = plain_shift(b, plain_stream(f"{tweak}{i}", a, 1))
+    return a + b
+
+
+def plain_luhn(digits):
+    return sum((d if i % 2 else d * 2 - 9 * (d > 4)) for i, d in enumerate(int(c) for c in reversed(digits))) % 10
+
+
+def plain_ip(value, tweak):
+    o = [int(x) for x in value.split(".")]
+    a, b = o[0] * 256 + o[1], o[2] * 256 + o[3]
+    for t in range(2):
+        a = (a + int(plain_stream(tweak, b, 2 * t)[:4], 16)) % 65536
+        b = (b + int(plain_stream(tweak, a, 2 * t + 1)[:4], 16)) % 65536
+    return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def plain_name(value):
+    title, *given, family = value.split(" ")
+    bare = title.rstrip(".")
+    gender = "m" if bare in pii.MALE.split("|") else "f" if bare in pii.FEMALE.split("|") else "n"
+    script = "cyrillic" if "Ѐ" <= family[0] <= "ӿ" else "greek" if "Ͱ" <= family[0] <= "Ͽ" or "ἀ" <= family[0] <= "῿" else "latin"
+    new = [pii.GIVEN[gender, script][int(plain_stream("name:", given[0].lower(), 9)[:6], 16) % 8]] if given else []
+    return " ".join([title, *new, plain_permuted(family, f"name:{script}:0")])
+
+
+def plain_surrogate(value):
+    """(kind, surrogate) at the first attempt."""
+    kinds = {k: regex.compile(p) for k, p in pii.PATTERNS.items()}
+    kind = next((k for k in ("email", "ip", "phone", "ssn", "card") if kinds[k].fullmatch(value)), "name")
+    digits = "".join(c for c in value if c in "0123456789")
+    pour = lambda new: "".join(next(new) if c in "0123456789" else c for c in value)
+    if kind == "email":
+        local, _, domain = value.lower().rpartition("@")
+        hosts, _, top = domain.rpartition(".")
+        out = f"{plain_permuted(local, 'email:0')}@{plain_permuted(hosts, 'email:0@' + top)}.{top}.example"
+        return kind, "".join(c.upper() if i < len(value) and value[i].isupper() else c for i, c in enumerate(out))
+    if kind == "phone":
+        whole = digits if value.startswith("+") else "1" + digits
+        code = regex.match(pii.CALLING_CODE, whole)[1]
+        new = plain_permuted(whole[len(code) :], f"phone:0{code}")
+        return kind, pour(iter((code if value.startswith("+") else "") + new))
+    if kind == "card":
+        body = digits[0] + plain_permuted(digits[1:-1], f"card:0{digits[0]}")
+        return kind, pour(iter(body + str((int(digits[-1]) + plain_luhn(digits[:-1]) - plain_luhn(body)) % 10)))
+    return kind, {"ip": lambda: plain_ip(value, "ip:0"), "ssn": lambda: plain_permuted(value, "ssn:0")}.get(kind, lambda: plain_name(value))()
+
+
+def plain_pseudonymise(text):
+    if not text:
+        return 0, text
+    entity = "|".join(pii.PATTERNS.values())
+    found = [m[0] for m in regex.finditer(entity, text)]
+    bare = {}
+    for v in found:
+        kind, s = plain_surrogate(v)
+        if kind == "name":
+            for a, b in ((v.partition(" ")[2], s.partition(" ")[2]), (v.split(" ")[-1], s.split(" ")[-1])):
+                bare.setdefault(a, b)
+    if bare:
+        entity += r"|(?<![\p{L}])(?:" + "|".join(sorted(bare, key=lambda b: (-len(b), b))) + r")(?![\p{L}'’-])"
+    n = 0
+
+    def put(m):
+        nonlocal n
+        n += 1
+        return bare[m[0]] if m[0] in bare and not regex.fullmatch("|".join(pii.PATTERNS.values()), m[0]) else plain_surrogate(m[0])[1]
+
+    out = regex.sub(entity, put, text)
+    return n, out
+
+
+def test_query_equals_the_plain_version(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts |= {10**6: "Mrs. Anna Smith, Mr. Смирнов, г-жа Ольга Иванова, Κύριος Γιώργος Παππάς; Smith, Anna Smith. bob.x@foo.org 4111 1111 1111 1111 10.0.0.1 (212) 555-1234 +49 30 1234567 078-05-1120", 10**6 + 1: None, 10**6 + 2: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = pii.pseudonymise(docs, "k").collect()
+    assert len(rows) == len(texts) and sum(r["n_entities"] for r in rows) > 20
+    for r in rows:
+        assert (r["n_entities"], r["text"]) == plain_pseudonymise(texts[r["doc_id"]])
