@@ -265,7 +265,7 @@ def _mixed(x: np.ndarray, mask: np.ndarray, factor: np.ndarray) -> np.ndarray:
 class Shingler:
     """The sorted 64-bit hashes of all runs of ``shingle`` words; a shorter text is one run, one without words the empty run."""
 
-    def __init__(self, shingle: int, remembered: int = 500_000):
+    def __init__(self, shingle: int, remembered: int = 100_000):
         self.shingle, self.remembered, self.seen = shingle, remembered, {}
 
     def __call__(self, text: str) -> np.ndarray:
@@ -299,8 +299,8 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     draw = np.random.default_rng(42)
     masks, factors = draw.integers(0, 2**64, words, np.uint64), draw.integers(0, 2**64, words, np.uint64) | np.uint64(1)
     total = np.zeros(64 * words, np.int64)
-    for at in range(0, len(hashes), _BLOCK):
-        total += ones(_mixed(hashes[at : at + _BLOCK, None], masks, factors))
+    for at in range(0, len(hashes), 4096):
+        total += ones(_mixed(hashes[at : at + 4096, None], masks, factors))
     return np.packbits(total * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
@@ -342,7 +342,7 @@ def _segments(prints: np.ndarray, plan: WidePlan) -> np.ndarray:
 _ENTRY = np.dtype([("value", "<i8"), ("key", "<i8"), ("a", "<u8"), ("b", "<u8")])
 
 
-def near_entries(entries: np.ndarray, probes: np.ndarray, bits: int, reach: int, block: int = 1_000_000) -> list[tuple[int, int]]:
+def near_entries(entries: np.ndarray, probes: np.ndarray, bits: int, reach: int, block: int = 1 << 17) -> list[tuple[int, int]]:
     """Links that span the pairs of entries whose values differ in one bit of ``bits`` at most, and of probes and entries of one value, within ``reach`` of 128 bits.
 
     Pairs are looked up and compared in blocks of about ``block``, and those of one group are not compared further,
@@ -410,8 +410,8 @@ def candidate_links(texts: DataFrame, plan: WidePlan, shingle: int) -> DataFrame
         shingler = Shingler(shingle)
         low_bits = plan.bits - plan.prefix
         for big in batches:
-            for at in range(0, big.num_rows, 2048):
-                batch = big.slice(at, 2048)
+            for at in range(0, big.num_rows, 1024):
+                batch = big.slice(at, 1024)
                 prints = np.stack([wide_fingerprint(shingler(t), plan.words) for t in batch.column(1).to_pylist()])
                 values = _segments(prints, plan)
                 entry = np.zeros(len(prints), _ENTRY)
@@ -480,7 +480,7 @@ def spanning_links(keys: list[int], sets: list[np.ndarray], sides: list[int], si
     return links
 
 
-def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 1000) -> DataFrame:
+def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 400) -> DataFrame:
     """(a, b): keys of ``texts`` (key, text), one row a key, that span all pairs of a Jaccard similarity of ``similarity`` or more.
 
     Candidates form clusters. The texts of a cluster meet with their whole sets of runs, each set once; a
@@ -519,8 +519,8 @@ def similar_links(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, b
                     column.append(value)
         yield found()
 
-    keys = clusters.select("key").distinct()
-    sets = cut(texts.join(sized(keys, keys.count()), "key", "left_semi").select("key", "text").mapInArrow(whole, "key long, hashes binary"), "shingle_sets")
+    keys = clusters.select("key")
+    sets = cut(texts.join(sized(keys, clusters.count()), "key", "left_semi").select("key", "text").mapInArrow(whole, "key long, hashes binary"), "shingle_sets")
     dealt = members.join(sets, "key").select("cluster", "low", "high", "side", "key", "hashes")
     return dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "key").mapInArrow(search, "a long, b long")
 
