@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Named character references that pages commonly use; the ampersand comes last.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "bull": "•", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "sect": "§", "trade": "™",
-    "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "deg": "°", "times": "×", "para": "¶",
-}
+#: Named character references of HTML, with and without their semicolon, and numeric ones that browsers read as Windows-1252; both from the standard library.
+NAMED = {name: char for name, char in html5.items()}
+RENUMBERED = {n: unescape(f"&#{n};") for n in (0, *range(0x80, 0xA0))}
+#: Names that may stand without a semicolon.
+_BARE = "|".join(sorted((n for n in NAMED if not n.endswith(";")), key=lambda n: (-len(n), n)))
+REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
+#: A tag whose quoted attributes may hold any character, a comment, a declaration or an instruction.
+TAG = r"""<!--.*?-->|</?[A-Za-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*+>"""
 
 
 def once(c: Column) -> Column:
@@ -91,28 +97,40 @@ def complete_sentences(c: Column) -> Column:
     return F.when(~c.rlike("[.!?\"]$") & cut, F.substring(c, F.lit(1), last)).otherwise(c)
 
 
+def _numbered(ref: Column) -> Column:
+    """The character of a numeric reference: some by Windows-1252, others that are none by the replacement character."""
+    digits = F.regexp_extract(ref, "[0-9a-fA-F]+(?=;?$)", 0)
+    number = F.coalesce(F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(0x110000))
+    known = F.create_map(*[F.lit(x) for pair in RENUMBERED.items() for x in pair])
+
+    def char(n: Column) -> Column:
+        usual = F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        none = n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+        return F.coalesce(F.try_element_at(known, n.cast("int")), F.when(none & (n <= 0x10FFFF), "").otherwise(usual))
+
+    return let(number, char)
+
+
 def decode_entities(c: Column) -> Column:
-    """Named and numeric character references, each decoded once."""
-    named = c
-    for name, char in ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    numeric = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+    """Character references decoded once each: named ones of HTML, also those that need no semicolon, and numbers. Unknown ones stay."""
+    names = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
-    def char(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, "[0-9a-fA-F]+(?=;)", 0)
-        code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-        return let(code, lambda n: F.when(n.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("�"))
+    def named(ref: Column) -> Column:
+        # an unknown name with a semicolon may begin with one that needs none
+        start = F.regexp_extract(ref, rf"^&({_BARE})", 1)
+        rest = F.substring(ref, F.length(start) + 2, F.length(ref))
+        return F.coalesce(F.try_element_at(names, F.substring(ref, F.lit(2), F.length(ref))), F.when(start != "", F.concat(F.try_element_at(names, start), rest)), ref)
 
     def woven(text: Column) -> Column:
-        chars = F.transform(F.regexp_extract_all(text, F.lit(numeric), F.lit(0)), char)
-        return F.array_join(F.flatten(F.zip_with(F.split(text, numeric, -1), chars, lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))), "")
+        common = lambda r: F.when(r == "&amp;", "&").when(r == "&nbsp;", "\u00a0").when(r == "&lt;", "<").when(r == "&gt;", ">").when(r == "&quot;", '"')
+        chars = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), lambda r: common(r).when(r.startswith("&#"), _numbered(r)).otherwise(named(r)))
+        return F.array_join(F.flatten(F.zip_with(F.split(text, REFERENCE, -1), chars, lambda p, x: F.array(p, F.coalesce(x, F.lit(""))))), "")
 
-    decoded = let(named, lambda text: F.when(text.rlike(numeric), woven(text)).otherwise(text))
-    return F.replace(decoded, F.lit("&amp;"), F.lit("&"))
+    return let(c, lambda text: F.when(F.contains(text, F.lit("&")) & text.rlike(REFERENCE), woven(text)).otherwise(text))
 
 
 def html_text(c: Column) -> Column:
     """The text of a page: no scripts, styles or comments; a line for each text between tags; no blank lines."""
-    bare = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
-    lines = F.split(decode_entities(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")), r"\R")
+    bare = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)", "\n")
+    lines = F.split(decode_entities(F.regexp_replace(bare, f"(?s){TAG}", "\n")), r"\R")
     return F.array_join(F.filter(F.transform(lines, strip), lambda x: x != ""), "\n")

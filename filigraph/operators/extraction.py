@@ -6,10 +6,14 @@ and no shuffle before nodes are deduplicated.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigraph import schemas
+from filigraph.functions.models import model_answer
 from filigraph.functions.text import let, once, slug, strip, words
 from filigraph.operators.lexicon import Lexicon
 
@@ -99,10 +103,10 @@ def with_edges(records: DataFrame) -> DataFrame:
     moves = lambda i: F.filter(F.array(triple("Company", "pursues", i["name"]), F.when(skill.isNotNull(), triple("Initiative", "initiativeEnables", skill["name"]))), lambda t: t.isNotNull())
     edges = F.concat(
         F.when(F.col("Mission").isNotNull(), F.array(triple("Company", "hasMission", F.lit("Mission")))).otherwise(none),
-        F.transform("StrategicObjective", lambda o: triple("Company", "statesObjective", F.substring(o["text"], 1, 50))),
+        F.transform(F.coalesce("StrategicObjective", F.array()), lambda o: triple("Company", "statesObjective", F.substring(o["text"], 1, 50))),
         flat("Capability", skills),
         flat("Initiative", moves),
-        F.transform("RiskTheme", lambda r: triple("Company", "exposedTo", r["name"])),
+        F.transform(F.coalesce("RiskTheme", F.array()), lambda r: triple("Company", "exposedTo", r["name"])),
     )
     return records.withColumn("Edges", edges)
 
@@ -117,6 +121,23 @@ def prompt_words(text: Column, most: int = 3000) -> Column:
     return F.array_join(F.slice(words(text), 1, most), " ")
 
 
+class Extractor(Protocol):
+    """Adds ``record`` (null where it has none) to a table with ``text``."""
+
+    def extract(self, sections: DataFrame) -> DataFrame: ...
+
+
+class ModelExtractor:
+    """Any language model: ``load`` runs once a worker and gives a function from a prompt to an answer. What fails or holds no record gives null, and the rules stand."""
+
+    def __init__(self, load: Callable[[], Callable[[str], str]], instruction: str = "Return the company's record as one JSON object.", most_words: int = 3000):
+        self.load, self.instruction, self.most_words = load, instruction, most_words
+
+    def extract(self, sections: DataFrame) -> DataFrame:
+        asked = F.concat(F.lit(self.instruction + "\n\n"), prompt_words(F.coalesce("text", F.lit("")), self.most_words))
+        return sections.withColumn("__answer", model_answer(self.load)(asked)).withColumn("record", parse_record(F.col("__answer"))).drop("__answer")
+
+
 def _id(label: str, name: Column) -> Column:
     return F.concat_ws(":", F.lit(label), F.col("Company.ticker"), slug(name))
 

@@ -140,6 +140,28 @@ def overview(graph: Graph, seeds: DataFrame, lists: dict[str, str] | None = None
     )
 
 
+def profile_view(graph: Graph, seeds: DataFrame, companies: DataFrame, risk_names: dict[str, str] | None = None) -> DataFrame:
+    """What an overview page shows of each seed: its size within one hop, the curated mission of ``companies`` (ticker, ...) or else the extracted one, and lists of texts for display.
+
+    ``ticker, name, fiscal_year, alignment_label, alignment_rationale, nodes, edges, mission, objectives, capabilities, initiatives, risks``. A seed outside the graph has one node, itself.
+    """
+    shown = {"StrategicObjective": ("objectives", display), "Capability": ("capabilities", capability_name), "Initiative": ("initiatives", display), "RiskTheme": ("risks", lambda c: risk_name(c, risk_names))}
+    first = one_hop(graph, seeds.select("seed")).join(_described(graph, "n1"), "n1")
+    item = F.coalesce(*[F.when(F.col("n1_label") == label, f(F.col("n1_text"))) for label, (_, f) in shown.items()], F.col("n1_text"))
+    texts = lambda label: F.transform(F.sort_array(F.collect_list(F.when(F.col("n1_label") == label, F.struct("o1", "n1", "item")))), lambda x: x["item"])
+    parts = first.withColumn("item", item).groupBy("seed").agg(
+        F.count(F.lit(1)).alias("edges"), F.max_by("n1_text", F.when(F.col("n1_label") == "Mission", F.col("o1"))).alias("extracted"), *[texts(label).alias(c) for label, (c, _) in shown.items()]
+    )
+    known = companies.select(F.col("ticker").alias("__ticker"), *[F.col(c) if c in companies.columns else F.lit(None).cast("string").alias(c) for c in ("name", "fiscal_year", "mission", "alignment_label", "alignment_rationale")])
+    ticker = F.substring_index("seed", ":", -1)
+    rows = seeds.select("seed", ticker.alias("ticker")).join(known, F.col("ticker") == F.col("__ticker"), "left").join(parts, "seed", "left")
+    empty = F.array().cast("array<string>")
+    return rows.select(
+        "ticker", F.coalesce("name", "ticker").alias("name"), "fiscal_year", "alignment_label", "alignment_rationale", (F.coalesce("edges", F.lit(0)) + 1).alias("nodes"), F.coalesce("edges", F.lit(0)).alias("edges"),
+        filled_or_empty(F.col("mission"), F.col("extracted")).alias("mission"), *[F.coalesce(F.col(c), empty).alias(c) for c, _ in shown.values()],
+    )
+
+
 def compare(graph: Graph, seed1: str, seed2: str, **options) -> DataFrame:
     """One row: the overviews of two seeds as ``company1`` and ``company2``, and the compared dimensions."""
     spark = graph.nodes.sparkSession

@@ -7,14 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigraph.functions import text as tx
 from filigraph.operators import answers, chunking, compare, extraction, graph as graphs, ontology, retrieval, sections
 from filigraph.operators.graph import Graph
 from filigraph.operators.lexicon import Lexicon
-from filigraph.plans.ask import AskConfig, ask
 from filigraph.sources import readers
 from filigraph.streaming import windows
 
@@ -197,18 +196,20 @@ SELECT doc_id, CAST(i - 1 AS INT) AS place, l[i] AS words FROM (SELECT doc_id, l
 
 # --- pages ---------------------------------------------------------------------------------------
 
-PAGE_RULE = sections.SectionRule(starts=(r"\n[A-Z][a-z]*%%%", r"\n[A-Z]"), ends=(r"\n[A-Z][a-z]*[*][*][*]", r"\nHome"), header=20, open_end=300, no_start=100, drop="(?i)cookie")
+#: Patterns that occur in the pages: a first line of its own kind, and the footer. Caps are the operator's.
+PAGE_RULE = sections.SectionRule(starts=(r"\n[A-Z][a-z]*%%%", r"\n[A-Z]"), ends=(r"\n[A-Z][a-z]*[*][*][*]", r"\n©"), header=20, drop="(?i)cookie")
 
 
 def page_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b[^>]*>.*?</script\s*>', '', 'gis'), '<style\b[^>]*>.*?</style\s*>', '', 'gis'), '<!--.*?-->', '', 'gs')"""
-_REFS = {k: v for k, v in tx.ENTITIES.items() if k in ("lt", "gt", "quot", "nbsp", "copy", "middot", "mdash", "ndash", "hellip", "apos")}
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b[^>]*>.*?</script\s*>', chr(10), 'gis'), '<style\b[^>]*>.*?</style\s*>', chr(10), 'gis'), '<!--.*?-->', chr(10), 'gs')"""
+#: Code points of references that pages may have, independent of the engine's table.
+_REFS = {"lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 160, "copy": 169, "middot": 183, "frac12": 189, "eacute": 233, "ndash": 8211, "mdash": 8212, "hellip": 8230}
 _DECODED = f"regexp_replace({_PLAIN}, '<[^>]*>', chr(10), 'gs')"
-for _name, _char in _REFS.items():
-    _DECODED = f"replace({_DECODED}, '&{_name};', '{_char.replace(chr(39), chr(39) * 2)}')"
+for _name, _code in _REFS.items():
+    _DECODED = f"replace({_DECODED}, '&{_name};', chr({_code}))"
 PAGE_CTE = f"""
 WITH lines AS (SELECT page_id, list_filter(list_transform(string_split_regex(replace({_DECODED}, '&amp;', '&'), '\\r\\n|[\\n\\r]'), lambda x: trim(x, E' \\t\\r\\n' || chr(160))), lambda x: x <> '') AS ls FROM pages),
 t AS (SELECT page_id, array_to_string(ls, chr(10)) AS text FROM lines)"""
@@ -226,8 +227,8 @@ def _at(text: str, *patterns: str) -> str:
 PAGE_SECTION_SQL = PAGE_CTE + f"""
 , s AS (SELECT page_id, text, {_at('text', chr(92) + 'n[A-Z][a-z]*%%%', chr(92) + 'n[A-Z]')} AS a FROM t),
 r AS (SELECT *, substr(text, a + 20) AS rest FROM s),
-b AS (SELECT *, {_at('rest', chr(92) + 'n[A-Z][a-z]*[*][*][*]', chr(92) + 'nHome')} - 1 + 20 AS n FROM r)
-SELECT page_id, trim(regexp_replace(regexp_replace(CASE WHEN a IS NULL THEN substr(text, 1, 100) ELSE substr(text, a, coalesce(n, 300)) END, '\\n{{3,}}', E'\\n\\n', 'g'), 'cookie', '', 'gi'), E' \\n\\t\\r') AS text FROM b"""
+b AS (SELECT *, {_at('rest', chr(92) + 'n[A-Z][a-z]*[*][*][*]', chr(92) + 'n©')} - 1 + 20 AS n FROM r)
+SELECT page_id, trim(regexp_replace(regexp_replace(CASE WHEN a IS NULL THEN substr(text, 1, 50000) ELSE substr(text, a, coalesce(n, 100000)) END, '\\n{{3,}}', E'\\n\\n', 'g'), 'cookie', '', 'gi'), E' \\n\\t\\r') AS text FROM b"""
 
 
 def filing_urls(spark, sf_dir):
@@ -527,8 +528,6 @@ FROM documents ORDER BY rerank_score DESC, doc_id LIMIT 50"""
 
 
 def _ranked_chunks(spark, sf_dir):
-    from pyspark.sql import Window
-
     chunks = chunking.chunk(_docs(spark, sf_dir), "doc_id").withColumn("key", F.col("doc_id")).withColumn("score", F.round(1 / (F.col("start_word") + 3), 6))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "chunk_id"))
     return chunks.withColumn("place", place)
@@ -560,30 +559,24 @@ SELECT seed AS key, string_agg(CASE WHEN nth = 1 THEN '  [' || label || ']' || c
 
 
 def answer_extractive(spark, sf_dir):
-    seeds = _seeds(spark, sf_dir, "an ia")
-    hits = graphs.search(star_graph(spark, sf_dir), seeds, 10).withColumnRenamed("seed", "key")
-    profile = seeds.select(F.col("seed").alias("key"), F.concat(F.lit("Name of "), "seed").alias("name"), F.lit(None).cast("string").alias("mission"), F.lit("Strong").alias("alignment_label"))
-    passages = _ranked_chunks(spark, sf_dir).where("doc_id < 3").withColumn("key", F.concat(F.lit("Region:"), F.col("doc_id").cast("string")))
-    return answers.extractive(profile, passages, hits)
+    """An answer for every document: its own passages, and the graph hits of the region that it falls to."""
+    docs = _docs(spark, sf_dir)
+    regions = _seeds(spark, sf_dir, "an ia")
+    place = F.row_number().over(Window.orderBy("seed")) - 1
+    numbered = regions.withColumn("k", place).withColumn("regions", F.count(F.lit(1)).over(Window.partitionBy()))  # a handful of regions
+    of = docs.select("doc_id").join(F.broadcast(numbered), F.pmod("doc_id", F.col("regions")) == F.col("k")).select(F.col("doc_id").alias("key"), "seed")
+    hits = of.join(F.broadcast(graphs.search(star_graph(spark, sf_dir), regions, 4)), "seed").drop("seed")  # at most four hits a region
+    profile = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("Name of "), "ticker").alias("name"), F.lit(None).cast("string").alias("mission"), F.lit("Strong").alias("alignment_label"))
+    return answers.extractive(profile, _ranked_chunks(spark, sf_dir), hits).select("key", F.md5("answer").alias("digest"), F.length("answer").cast("bigint").alias("chars"))
 
 
 ANSWER_SQL = SEARCH_SQL.replace("WITH nodes", CHUNK_CTE.strip().replace("\n", " ") + ", nodes", 1).replace("\nSELECT seed, CAST(place AS INT) AS place, node_id, label, text, relation, score, path FROM r WHERE place <= 10", """
-, p AS (SELECT 'Region:' || doc_id AS seed, string_agg(place || '. ' || trim(substr(text, 1, 250)), chr(10) || chr(10) ORDER BY place) AS passages FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_word) AS place FROM chunks WHERE doc_id < 3) WHERE place <= 4 GROUP BY doc_id),
-ins AS (SELECT seed, string_agg('- **' || label || '**: ' || substr(text, 1, 150), chr(10) || chr(10) ORDER BY place) AS insights FROM r WHERE place <= 4 GROUP BY seed)
-SELECT seed AS key, concat_ws(chr(10) || chr(10), '**Name of ' || seed || '** (Strong)' || chr(10) || chr(10) || '**Mission:** N/A' || chr(10), '**Key Findings from 10-K:**' || chr(10) || chr(10) || passages, chr(10) || '**Knowledge Graph Insights:**' || chr(10) || chr(10) || insights) AS answer
-FROM seeds LEFT JOIN p USING (seed) LEFT JOIN ins USING (seed)""")
-
-
-def ask_hybrid(spark, sf_dir):
-    """A question to one document as the company, with hashed embeddings of all chunks."""
-    docs = _docs(spark, sf_dir)
-    embedder = retrieval.HashingEmbedder(64)
-    chunks = embedder.embed(chunking.chunk(docs, "ticker"))
-    records = extraction.extract(docs, LEXICON)
-    g = graphs.load(extraction.nodes(records), extraction.edges(records)).cache()
-    companies = docs.select("ticker", F.concat(F.lit("Document "), "ticker").alias("name"), F.lit("").alias("mission"), F.lit("Moderate").alias("alignment_label"))
-    found = ask("What is the tion of the erinth?", "1", chunks, embedder, g, companies, AskConfig())
-    return found.select("question", "company", "answer", F.size("evidence_spans").alias("spans"), F.size("kg_paths").alias("paths"), F.array_join("pipeline_steps", ", ").alias("steps"))
+, p AS (SELECT doc_id, string_agg(place || '. ' || trim(substr(text, 1, 250), E' \\n\\t\\r'), chr(10) || chr(10) ORDER BY place) AS passages FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_word) AS place FROM chunks) WHERE place <= 4 GROUP BY doc_id),
+ins AS (SELECT seed, string_agg('- **' || label || '**: ' || substr(text, 1, 150), chr(10) || chr(10) ORDER BY place) AS insights FROM r WHERE place <= 4 GROUP BY seed),
+turn AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS k, count(*) OVER () AS n FROM seeds),
+answered AS (SELECT x.doc_id AS key, concat_ws(chr(10) || chr(10), '**Name of ' || x.doc_id || '** (Strong)' || chr(10) || chr(10) || '**Mission:** N/A' || chr(10), '**Key Findings from 10-K:**' || chr(10) || chr(10) || passages, chr(10) || '**Knowledge Graph Insights:**' || chr(10) || chr(10) || insights) AS answer
+  FROM documents x JOIN turn ON x.doc_id % turn.n = turn.k LEFT JOIN p ON p.doc_id = x.doc_id LEFT JOIN ins ON ins.seed = turn.seed)
+SELECT key, md5(answer) AS digest, length(answer) AS chars FROM answered""")
 
 
 # --- scorecards ----------------------------------------------------------------------------------
@@ -691,7 +684,7 @@ SPECS: dict[str, tuple[Query, str | None]] = {
         (induced_subgraph, INDUCED_SQL), (triplets, TRIPLET_SQL), (in_out_neighbours_top8, NEIGHBOUR_SQL), (node_views, NODE_VIEW_SQL), (edge_views, EDGE_VIEW_SQL), (label_hist, LABEL_SQL), (relation_hist, RELATION_SQL),
         (graph_size, SIZE_SQL), (distance_classes, DISTANCE_SQL), (prop_filter_nodes, PROP_NODES_SQL), (prop_filter_edges, PROP_EDGES_SQL), (selected_nodes, SELECTED_SQL), (ontology_violations, ONTOLOGY_SQL),
         (vector_topk, VECTOR_SQL), (vector_topk_postfilter, POST_SQL), (vector_topk_prefilter, PRE_SQL), (vector_topk_batch, BATCH_SQL), (rerank_lexical, RERANK_SQL), (evidence_spans, SPANS_SQL),
-        (context_assembly, CONTEXT_SQL), (kg_context_grouped, KG_CONTEXT_SQL), (answer_extractive, ANSWER_SQL), (ask_hybrid, None),
+        (context_assembly, CONTEXT_SQL), (kg_context_grouped, KG_CONTEXT_SQL), (answer_extractive, ANSWER_SQL),
         (score_heatmap, HEATMAP_SQL), (heatmap_cells, CELLS_SQL), (alignment_percentages, PERCENT_SQL), (alignment_winner, WINNER_SQL), (head_to_head, HEAD_SQL), (evidence_chain, CHAIN_SQL),
         (event_windows, EVENTS_SQL), (event_sessions, SESSIONS_SQL),
     )

@@ -1,3 +1,7 @@
+from html import unescape
+from html.entities import html5
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from filigraph.functions import text as tx
@@ -54,3 +58,53 @@ def test_html(spark):
     page = "<html><style>p{}</style><!-- x --><p>A &amp;lt; B&nbsp;</p><SCRIPT>var a='</p>'</SCRIPT><p> &#65;&#x42; <b>c</b>\n\n</p></html>"
     assert one(spark, page, tx.html_text).split("\n") == ["A &lt; B", "AB", "c"]
     assert one(spark, "", tx.html_text) == ""
+
+
+class Reader(HTMLParser):
+    """What the standard library's parser takes for text, a line for each run between tags and comments."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.inside = [], None
+
+    def handle_starttag(self, tag, attrs):
+        self.parts.append("\n")
+        self.inside = tag if tag in ("script", "style") else self.inside
+
+    def handle_endtag(self, tag):
+        self.parts.append("\n")
+        self.inside = None if tag == self.inside else self.inside
+
+    def handle_data(self, data):
+        self.parts.append("" if self.inside else data)
+
+    def handle_comment(self, data):
+        self.parts.append("\n")
+
+
+def parsed(page):
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    return "\n".join(line for line in (x.strip() for x in "".join(reader.parts).splitlines()) if line)
+
+
+PAGES = [
+    '<p title="a > b">x</p><a href=\'q>"r\'>y</a z="1">', "caf&eacute; &frac12; &frac12 &copy2024 &notit; &unknown; &amp;lt; &lt;b&gt; AT&T", "&#150;&#x93;q&#148; &#8364; &#0; &#xD800; &#x110000; &#128 &#x41",
+    "a<!-- <b> -->b<br/>c < d 2<3", "<script>if (a<b) {}</script>t<STYLE media='x>y'>p{}</STYLE >u", "&NotEqualTilde;&CounterClockwiseContourIntegral; &Aacute&aacute;", "<p>open <b>never closed", "", "&", "&#;&#x;&;",
+]
+
+
+def test_html_equals_the_standard_parser(spark, sf):
+    pages = PAGES + [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, v string").select("i", tx.html_text(F.coalesce("v", F.lit(""))).alias("r")).collect()
+    for r in rows:
+        assert r["r"] == parsed(pages[r["i"]]), pages[r["i"]][:200]
+
+
+def test_every_named_reference(spark):
+    names = list(html5)
+    rows = spark.createDataFrame([(f"x&{n} y",) for n in names], "v string").select("v", tx.decode_entities(F.col("v")).alias("r")).collect()
+    assert all(r["r"] == unescape(r["v"]) for r in rows) and len(rows) == len(names)
+    numbers = spark.createDataFrame([(f"&#{n};",) for n in range(300)], "v string").select("v", tx.decode_entities(F.col("v")).alias("r")).collect()
+    assert [r["v"] for r in numbers if r["r"] != unescape(r["v"])] == []
