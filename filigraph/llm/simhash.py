@@ -214,22 +214,23 @@ def _segment(shift: int, bits: int):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each linked node can reach.
 
-    Alternates the large-star and small-star contractions until every node hangs on the least
-    node of its component; each round is written to the shared folder. Edges must not be null.
+    Alternates the large-star and small-star contractions until every node hangs on the least node of its component; each round is written to
+    the shared folder. The least neighbours meet the edges by broadcast while there are few edges, so a hub's edges stay where they are; beyond, by a
+    shuffle whose hubs adaptive execution splits. Edges must not be null.
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
+    state, rows = None, edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(sized(least, 2 * rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        small = large.join(sized(least, rows), "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
+        state, rows = now, now["n"]
     raise RuntimeError("the components did not settle")
 
 
