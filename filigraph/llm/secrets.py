@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 
 from filigraph.llm.shared import cut, text_or_empty
 
-#: A run of 16 or more characters that keys are written in, with its padding.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9])"
+#: The head of a private key, a run of 16 or more characters that keys are written in with its padding, or a shorter
+#: value (6 characters or more, any signs) that something called a password, secret, token or key is set to.
+HEAD = r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----"
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9])"
+SET_TO = r"(?<=[=:\"' ])(?<=(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)[\"']? {0,2}[=:] {0,2}[\"']?)(?![=:\"'\s])[^\s\"'<>,;(){}\[\]]{6,64}+"
+CANDIDATE = f"{HEAD}|{RUN}|{SET_TO}"
+#: A text around a candidate of 6 characters or more spans at most so many others before it and after it.
+_BEFORE, _AFTER, _BACK, _ON = 48, 24, 7, 4
 #: Words that a made-up key or a plain identifier is built from.
 DICTIONARY = (
     "access account address admin api app archive array auth base block build cache case center change character check class client code "
@@ -32,7 +38,8 @@ KEYWORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|auth|credential|private
 WEAK_KEYWORDS = r"(?i)(token|secret|passw|pwd|key|auth|credential|private)"
 BENIGN = r"(?i)(commit|checksum|sha-?\d|md5|digest|etag|uuid|guid|revision|fingerprint|integrity|order|invoice|isbn|example|sample|dummy|placeholder)"
 PREFIXES = r"^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|glpat-)"
-SIDE_PATHS = r"(?i)(test|example|fixture|sample|doc|mock|vendor)"
+SIDE_PATHS = r"(?i)(test|example|fixture|sample|doc|mock|vendor|readme)"
+SETTING_PATHS = r"(?i)(\.env|config|settings|credential|secret|deploy|\.(ya?ml|toml|ini|properties|pem|tfvars)$)"
 
 
 def _share(pattern: str) -> Column:
@@ -74,34 +81,56 @@ def features(findings: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_quoted": (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double"),
         "f_in_path": (F.col("before").rlike("[/.]$") | F.col("candidate").rlike("/.*[a-z]{3,}.*/|^/")).cast("double"),
         "f_side_path": _flag("path", SIDE_PATHS),
+        "f_setting_path": _flag("path", SETTING_PATHS),
+        "f_no_path": _flag("path", "^$"),
+        "f_head": _flag("candidate", "^-----BEGIN"),
+        "f_word": _flag("candidate", "^([A-Za-z][a-z]+[-_./]?)+[.!?]?$"),
     }
     return findings.withColumn("length", F.length("candidate").cast("double")).withColumns(found), ["length", *found]
 
 
+def _running(values: Column, run: int = 256) -> Column:
+    """The sums of all values up to each, in time near the number of values: by runs, and within them."""
+    fold = lambda xs: F.aggregate(xs, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / run).cast("int")), lambda c: F.slice(values, c * run + 1, F.lit(run)))
+    sums = lambda rs: F.transform(rs, lambda r: F.aggregate(r, F.lit(0).cast("bigint"), lambda s, x: s + x))
+    with_sums = lambda rs: _let(sums(rs), lambda own: _let(fold(own), lambda ends: F.flatten(F.transform(rs, lambda r, c: F.transform(fold(r), lambda x: x + F.get(ends, c) - F.get(own, c))))))
+    return _let(runs, with_sums)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """``doc_id, path, start, candidate, before, after``: every candidate of every whole text, ``start`` from 1.
 
-    The text is split at the candidates. ``before`` (48 characters) and ``after`` (24) are of the whole text: with 16
-    characters or more a candidate, three earlier and two later ones reach far enough.
-    A null or empty text, or one without candidates, gives no rows.
+    The text is split at the candidates, and all is computed where the row is read. ``before`` (48 characters) and ``after`` (24) are of
+    the whole text: with 6 characters or more a candidate and one between them, seven earlier and four later ones reach far enough.
+    A null or empty text, or one without candidates, gives no rows; a null path is empty.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text_or_empty(text_col).alias("text")).withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    # The row's number is given before the explode, so that it stays one for all candidates of a text.
-    rows = rows.where(F.size("found") > 0).withColumn("between", F.split("text", CANDIDATE, -1)).withColumn("row", F.monotonically_increasing_id())
-    end_of = lambda c, i: F.right(F.coalesce(F.get(c, i), F.lit("")), F.lit(48))
-    start_of = lambda c, i: F.left(F.coalesce(F.get(c, i), F.lit("")), F.lit(24))
+    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("doc_id", "path", "text", F.explode(F.array(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).alias("found")).where(F.size("found") > 0)
+    rows = rows.select("doc_id", "path", "found", F.explode(F.array(F.split("text", CANDIDATE, -1))).alias("between"))
+    ends = _running(F.zip_with(F.slice("between", F.lit(1), F.size("found")), "found", lambda b, f: (F.length(b) + F.length(f)).cast("bigint")))
+    rows = rows.select("*", F.explode(F.array(ends)).alias("ends"))
+    end_of = lambda c, i: F.right(F.coalesce(F.get(c, i), F.lit("")), F.lit(_BEFORE))
+    start_of = lambda c, i: F.left(F.coalesce(F.get(c, i), F.lit("")), F.lit(_AFTER))
     item = lambda i: F.struct(
-        F.length(F.col("between")[i]).alias("gap"),
-        F.right(F.concat(*[p for k in (3, 2, 1) for p in (end_of("found", i - k), end_of("between", i - k + 1))]), F.lit(48)).alias("before"),
-        F.col("found")[i].alias("candidate"),
-        F.left(F.concat(*[p for k in (1, 2) for p in (start_of("between", i + k), start_of("found", i + k))]), F.lit(24)).alias("after"),
+        (F.get("ends", i) - F.length(F.get("found", i)) + 1).alias("start"),
+        F.get("found", i).alias("candidate"),
+        F.right(F.concat(*[p for k in range(_BACK, 0, -1) for p in (end_of("found", i - k), end_of("between", i - k + 1))]), F.lit(_BEFORE)).alias("before"),
+        F.left(F.concat(*[p for k in range(1, _ON + 1) for p in (start_of("between", i + k), start_of("found", i + k))]), F.lit(_AFTER)).alias("after"),
     )
-    items = F.transform(F.sequence(F.lit(0), F.size("found") - 1), item)
-    flat = rows.select("row", "doc_id", "path", F.posexplode(items).alias("place", "item")).select("row", "doc_id", "path", "place", "item.*")
-    so_far = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("gap") + F.length("candidate")).over(so_far)
-    return flat.select("doc_id", "path", (end - F.length("candidate") + 1).alias("start"), "candidate", "before", "after")
+    places = rows.select("doc_id", "path", F.explode(F.transform(F.sequence(F.lit(0), F.size("found") - 1), item)).alias("item"))
+    return places.select("doc_id", "path", "item.*")
+
+
+def labelled_findings(docs: DataFrame, truth: DataFrame, **columns: str) -> DataFrame:
+    """Findings for :func:`train` from reviewed documents: ``truth`` has ``doc_id, start, label`` of candidates; those without a label are left out."""
+    return candidates(docs, **columns).join(truth.select("doc_id", "start", F.col("label").cast("double").alias("label")).distinct(), ["doc_id", "start"]).select("candidate", "before", "after", "path", "label")
 
 
 def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) -> DataFrame:
@@ -116,7 +145,7 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
     )
     one_of = lambda salt, *values: F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), (pick(salt, len(values)) + 1).cast("int"))
     rows_df = spark.range(rows).withColumn("hex", F.sha2(F.concat_ws(":", F.lit(str(seed)), "id"), 512))
-    rows_df = rows_df.withColumn("mixed", F.regexp_replace(F.base64(F.unhex("hex")), "[+/=\\s]", "")).withColumn("kind", pick("kind", 16))
+    rows_df = rows_df.withColumn("mixed", F.regexp_replace(F.base64(F.unhex("hex")), "[+/=\\s]", "")).withColumn("kind", pick("kind", 20))
     cut_at = lambda column, *sizes: F.substring(column, F.lit(1), F.element_at(F.array(*[F.lit(s) for s in sizes]), (pick("size", len(sizes)) + 1).cast("int")))
     names = ("token", "secret", "password", "api_key", "auth_token", "client_secret", "access_key", "passwd", "AWS_SECRET_ACCESS_KEY", "github_oauth_token", "client_secret_value", "DATABASE_PASSWORD")
     assign = F.concat(one_of("name", *names), one_of("sign", ' = "', "=", ": ", ' = "', '="', ": '"))
@@ -135,11 +164,15 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
         .when(k == 12, F.concat_ws("-", F.substring("hex", 1, 8), F.substring("hex", 9, 4), F.substring("hex", 13, 4), F.substring("hex", 17, 4), F.substring("hex", 21, 12)))
         .when(k == 13, F.concat_ws("-", one_of("r", "report", "version", "document"), F.lit("2024"), F.lpad((pick("m", 12) + 1).cast("string"), 2, "0"), one_of("e", "final", "archive2", "list01")))
         .when(k == 14, F.concat(F.initcap(word("c1", 4, 8)), one_of("c2", "Request", "Handler", "Manager"), F.initcap(word("c3", 4, 8)), one_of("c4", "V2", "Factory", "Test")))
-        .otherwise(F.concat_ws("_", word("w1", 4, 9), word("w2", 4, 9), word("w3", 3, 8)))
+        .when(k == 15, F.concat_ws("_", word("w1", 4, 9), word("w2", 4, 9), word("w3", 3, 8)))
+        .when(k == 16, F.concat(F.initcap(word("p1", 2, 6)), one_of("sign1", "!", "#", "$9", "7", "@2", "_x4"), F.substring("mixed", 1, 4), one_of("sign2", "", "?", "%", "+1")))
+        .when(k == 17, one_of("plain", "required", "optional", "string", "changeme", "undefined", "incorrect", "something", "nothing.", "forgotten", "process.env.TOKEN", "os.environ", "********", "${TOKEN}", "%(secret)s", "<hidden>"))
+        .when(k == 18, F.concat(word("v1", 6, 12), one_of("v2", "", ".", "!")))
+        .otherwise(one_of("pem", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"))
     )
-    sure = F.col("kind") <= 5
+    sure = (F.col("kind") <= 5) | F.col("kind").isin(16, 19)
     before = (
-        F.when(sure & (k != 5), F.concat(prose, assign))
+        F.when((sure & ~k.isin(5, 19)) | k.isin(17, 18), F.concat(prose, assign))
         .when(k == 5, F.concat(prose, one_of("maybe", assign, F.lit(""))))
         .when(k == 6, F.concat(prose, one_of("benign", "commit ", "sha256:", "checksum ", "md5=", 'etag: "', "digest = ", "artifact_sha256_checksum: ", 'release_commit_digest = "')))
         .when(k == 11, F.concat(prose, assign))
@@ -147,7 +180,8 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
         .otherwise(prose)
     )
     quote = F.when(before.rlike("[\"']$"), F.right(before, F.lit(1))).otherwise("")
-    path = one_of("path", "src/app.py", "docs/readme.md", "tests/test_app.py", "", "", "")
+    some = lambda *paths: one_of("path", *paths, "", "", "", "")
+    path = F.when(sure, some("deploy/prod.env", "config/settings.yaml", "src/app.py", "infra/main.tfvars")).otherwise(some("tests/test_app.py", "docs/readme.md", "examples/demo.ini", "src/app.py"))
     return rows_df.select(
         candidate.alias("candidate"), F.right(before, F.lit(48)).alias("before"), F.left(F.concat(quote, F.lit(" "), word("right", 3, 8)), F.lit(24)).alias("after"),
         path.alias("path"), sure.cast("double").alias("label"),

@@ -30,7 +30,29 @@ def test_candidates_know_their_place(spark):
 
 
 def brute_candidates(text):
-    return [(m.start() + 1, m[0]) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9])", text or "")]
+    """Position by position: the head of a key, else a long run, else what follows a name and a sign."""
+    text, found, at = text or "", [], 0
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    while at < len(text):
+        end = None
+        if m := re.compile(r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----").match(text, at):
+            end = m.end()
+        elif text[at] in key and (at == 0 or text[at - 1] not in key):
+            stop = at
+            while stop < len(text) and text[stop] in key:
+                stop += 1
+            pad = stop + len(re.compile("={0,2}").match(text, stop)[0])
+            if stop - at >= 16 and not re.compile("[A-Za-z0-9]").match(text, pad):
+                end = pad
+        if end is None and re.search(r"(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)[\"']? {0,2}[=:] {0,2}[\"']?\Z", text[max(0, at - 40) : at]):
+            m = re.compile(r"(?![=:\"'\s])[^\s\"'<>,;(){}\[\]]{6,64}").match(text, at)
+            end = m and m.end()
+        if end is None:
+            at += 1
+        else:
+            found.append((at + 1, text[at:end]))
+            at = end
+    return found
 
 
 def test_candidates_equal_brute_force(spark, sf):
