@@ -1,4 +1,4 @@
-"""What the training-data operators share: the shared work folder and checked column access.
+"""What the training-data operators share: sized joins, verdicts on rows, and checked column access.
 
 Executors can be lost at any time, so every lineage cut is a written Parquet table below
 the folder that the session names in ``spark.checkpoint.dir``; nothing lives on one machine.
@@ -6,44 +6,12 @@ the folder that the session names in ``spark.checkpoint.dir``; nothing lives on
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}
-
-
-def workspace(spark: SparkSession) -> str:
-    """The URI of this application's folder below ``spark.checkpoint.dir``.
-
-    Only a session on one machine gets a temporary folder without that setting; on a cluster it must name a shared one.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        if sc.applicationId not in _OWN_ROOT:
-            _OWN_ROOT[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="filigraph-")
-        root = _OWN_ROOT[sc.applicationId]
-    return f"{root.rstrip('/')}/filigraph-{sc.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the workspace that no other call gets."""
-    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a lineage cut that outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from filigraph.work import clear, cut, new_path, workspace
 
+__all__ = ["clear", "cut", "documents", "keep_rows", "look_up", "new_path", "sized", "text_key", "text_or_empty", "workspace"]
 
 #: Tables of up to so many rows of a few numbers may be broadcast; longer ones are shuffled.
 SMALL_ROWS = 500_000
@@ -92,13 +60,6 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text
     return out.unionAll(one.select("row.*"))
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes this application's work tables. Results that read them must be consumed before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(workspace(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(column: str = "text") -> Column:
     """A null text counts as the empty text everywhere in this subpackage."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
