@@ -9,6 +9,11 @@ from filigraph.functions.text import capability_name, display, risk_name
 from filigraph.operators.graph import Graph, one_hop
 
 
+#: Fixed values of the display: icons by score, and the steps of an evidence chain.
+SCORE_ICONS = ("⬜", "🟡", "🟠", "🟢")
+CHAIN_STEPS = ("Mission/Vision", "Strategic Goals", "Operational Capabilities", "Initiatives", "Risk Mitigation")
+
+
 def dense(companies: DataFrame, scores: DataFrame, dimensions: list[str]) -> DataFrame:
     """Every ticker with every dimension; a missing score is 0. ``dimensions`` is the stated list."""
     grid = companies.select("ticker").distinct().withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in dimensions])))
@@ -59,7 +64,7 @@ def winner(percent: DataFrame, first: str, second: str) -> DataFrame:
     return row.withColumn("winner", F.when(F.col("total1") > F.col("total2"), first).when(F.col("total2") > F.col("total1"), second).otherwise("Tie"))
 
 
-def head_to_head(scores: DataFrame, dimensions: list[str], first: str, second: str, icons: tuple[str, ...] = ("⬜", "🟡", "🟠", "🟢")) -> DataFrame:
+def head_to_head(scores: DataFrame, dimensions: list[str], first: str, second: str, icons: tuple[str, ...] = SCORE_ICONS) -> DataFrame:
     """``dimension, score1, score2, better`` in the order of the dimensions, scores with an icon of three."""
     dims = scores.sparkSession.createDataFrame(list(enumerate(dimensions)), "ord int, dimension string")
     of = lambda t, c: scores.where(F.col("ticker") == t).groupBy("dimension").agg(F.max("score").alias(c))
@@ -87,8 +92,7 @@ def evidence_chain(graph: Graph, seeds: DataFrame, missions: DataFrame | None =
     place = F.row_number().over(Window.partitionBy("seed", "step").orderBy("o1", "n1"))
     top = ranked.withColumn("nth", place).where(F.col("nth") <= F.col("most"))
     joined = top.groupBy("seed", "step").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "item"))), lambda x: x["item"]), " · ").alias("value"))
-    names = ("Mission/Vision", "Strategic Goals", "Operational Capabilities", "Initiatives", "Risk Mitigation")
-    steps = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(n).alias("label")) for i, n in enumerate(names)])).alias("s")
+    steps = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(n).alias("label")) for i, n in enumerate(CHAIN_STEPS)])).alias("s")
     out = seeds.select("seed", steps).select("seed", "s.*").join(joined, ["seed", "step"], "left")
     if missions is not None:
         out = out.join(missions, "seed", "left").withColumn("value", F.when(F.col("step") == 1, F.col("mission")).otherwise(F.col("value")))
