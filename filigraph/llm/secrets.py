@@ -20,7 +20,7 @@ from filigraph.llm.shared import cut, text_or_empty
 #: value (6 characters or more, any signs) that something called a password, secret, token or key is set to.
 HEAD = r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9])"
-SET_TO = r"(?<=[=:\"' ])(?<=(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)[\"']? {0,2}[=:] {0,2}[\"']?)(?![=:\"'\s])[^\s\"'<>,;(){}\[\]]{6,64}+"
+SET_TO = r"(?<=[=:\"' ])(?<=[=:] {0,2}[\"']?)(?<=(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)[\"']? {0,2}[=:] {0,2}[\"']?)(?![=:\"'\s])[^\s\"'<>,;(){}\[\]]{6,64}+"
 CANDIDATE = f"{HEAD}|{RUN}|{SET_TO}"
 #: A text around a candidate of 6 characters or more spans at most so many others before it and after it.
 _BEFORE, _AFTER, _BACK, _ON = 48, 24, 7, 4
@@ -158,7 +158,8 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
         .when(k == 5, F.concat(one_of("prefix", "AKIA", "ghp_", "sk_live_", "xoxb-"), F.when(pick("prefix", 4) == 0, F.upper(F.substring("hex", 1, 16))).otherwise(F.substring("mixed", 1, 36))))
         .when(k == 6, cut_at("hex", 40, 64, 32))
         .when(k == 7, F.substring(F.translate("hex", "abcdef", "012345"), F.lit(1), F.lit(16) + pick("digits", 4)))
-        .when(k <= 9, word("long", 16, 30))
+        .when(k == 8, word("long", 16, 30))
+        .when(k == 9, one_of("case", F.upper(word("long", 16, 30)), F.initcap(word("long", 16, 30))))
         .when(k == 10, F.concat_ws("/", one_of("d1", "src", "lib", "usr", "docs"), word("d2", 4, 9), word("d3", 5, 10), one_of("d4", "index", "main", "util")))
         .when(k == 11, one_of("fill", "your_api_key_here", "example-token-0000", "xxxxxxxxxxxxxxxxxxxx", "INSERT_SECRET_HERE", "password_placeholder", "test_access_token_1", "00000000000000000000"))
         .when(k == 12, F.concat_ws("-", F.substring("hex", 1, 8), F.substring("hex", 9, 4), F.substring("hex", 13, 4), F.substring("hex", 17, 4), F.substring("hex", 21, 12)))
