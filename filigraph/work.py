@@ -37,11 +37,22 @@ def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table that :func:`cut` made and that nothing reads any more."""
+    if path := getattr(table, "_work_path", None):
+        _delete(table.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's work tables. Results that read them must be consumed before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(workspace(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, workspace(spark))

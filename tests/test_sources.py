@@ -192,3 +192,14 @@ def test_committed_graph(spark):
     key = ("chunk_id", "ticker", "section", "page_estimate", "start_word", "end_word", "text")
     rows = lambda t: sorted(tuple(r) for r in t.select(*key).collect())
     assert rows(chunking.chunk(sections)) == rows(readers.chunks(spark, str(written.parent)))
+
+
+def test_work_tables_can_be_discarded(spark):
+    from filigraph import work
+
+    table = work.cut(spark.range(5).toDF("id"), "numbers")
+    place = table._work_path.removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(place)
+    work.discard(table)
+    work.discard(spark.range(1).toDF("id"))
+    assert not os.path.exists(place)
