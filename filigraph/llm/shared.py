@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigraph.work import clear, cut, new_path, workspace
+from filigraph.work import clear, cut, discard, new_path, workspace
 
-__all__ = ["clear", "cut", "documents", "keep_rows", "look_up", "new_path", "sized", "text_key", "text_or_empty", "workspace"]
+__all__ = ["clear", "cut", "discard", "documents", "keep_rows", "look_up", "new_path", "sized", "text_key", "text_or_empty", "workspace"]
 
 #: Tables of up to so many rows of a few numbers may be broadcast; longer ones are shuffled.
 SMALL_ROWS = 500_000

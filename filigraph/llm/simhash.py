@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigraph.llm.shared import cut, keep_rows, look_up, sized, text_key, text_or_empty
+from filigraph.llm.shared import cut, discard, keep_rows, look_up, sized, text_key, text_or_empty
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 65_536
@@ -226,7 +226,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(sized(least, 2 * rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(sized(least, rows), "u").select(F.col("v").alias("x"), "m").where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, edges = edges, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
