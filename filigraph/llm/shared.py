@@ -6,12 +6,15 @@ the folder that the session names in ``spark.checkpoint.dir``; nothing lives on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigraph.work import clear, cut, discard, new_path, workspace
 
-__all__ = ["clear", "cut", "discard", "documents", "keep_rows", "look_up", "new_path", "sized", "text_key", "text_or_empty", "workspace"]
+__all__ = ["clear", "cut", "discard", "documents", "keep_rows", "look_up", "new_path", "sized", "small_batches", "text_key", "text_or_empty", "workspace"]
 
 #: Tables of up to so many rows of a few numbers may be broadcast; longer ones are shuffled.
 SMALL_ROWS = 500_000
@@ -34,6 +37,18 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, hottest: int = 1024) ->
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, plans that run give Python workers ``rows`` rows at a time, for rows that hold much. The session's setting comes back at the end."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_key(column: str = "text") -> Column:
     """64 bits of a text, which with a document's id name its rows."""
     return F.xxhash64(text_or_empty(column))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigraph.llm.shared import cut, discard, keep_rows, look_up, sized, text_key, text_or_empty
+from filigraph.llm.shared import cut, discard, keep_rows, look_up, sized, small_batches, text_key, text_or_empty
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 65_536
@@ -543,7 +543,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if repeats:  # one text of each key
         alone = keyed.join(sized(several, repeats), "key", "left_anti")
         keyed = alone.unionByName(keyed.join(sized(several, repeats), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")))
-    joined = components(similar_links(keyed, shingle, similarity))
+    with small_batches(docs.sparkSession, 500):  # sets and packed entries are large rows
+        joined = components(similar_links(keyed, shingle, similarity))
     labels = cut(joined.select(F.col("node").alias("key"), "component").unionByName(joined.select(F.col("component").alias("key"), "component").distinct()), "near_labels")
     in_groups = rows.where("doc_id is not null").join(labels.unionByName(several.join(labels, "key", "left_anti").select("key", F.col("key").alias("component"))), "key")
     in_groups = cut(in_groups, "near_copies")
