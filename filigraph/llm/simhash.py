@@ -452,7 +452,7 @@ def candidate_links(texts: DataFrame, plan: WidePlan, shingle: int) -> DataFrame
                 held[probe].append(entries)
         yield found()
 
-    dealt = texts.mapInArrow(pack, "part long, probe int, entries binary").repartition(plan.segments << plan.prefix, "part").sortWithinPartitions("part")
+    dealt = texts.mapInArrow(pack, "part long, probe int, entries binary").repartition(min(plan.segments << plan.prefix, 32_768), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(search, "a long, b long")
 
 
@@ -533,7 +533,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Near copies have ``similarity`` or more of their runs of ``shingle`` words in common (Jaccard); a group is all that their links reach, and texts without words
     are one group. Candidates come from wide fingerprints by multi-index hashing (:func:`wide_plan` states the chance to miss a pair at the very similarity), all links are
     verified on whole texts. Null texts are empty, rows without an id make no links. A verdict is of an id and its text,
-    so another text with the same id has its own, and of rows that repeat id and text one stays.
+    so another text with the same id has its own; of rows of one id in a group, and of rows that repeat id and text, one stays.
     """
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key")), "text_keys")
     keyed = docs.where(F.col(id_col).isNotNull()).select(text_key(text_col).alias("key"), text_or_empty(text_col).alias("text"))
@@ -548,7 +548,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     labels = cut(joined.select(F.col("node").alias("key"), "component").unionByName(joined.select(F.col("component").alias("key"), "component").distinct()), "near_labels")
     in_groups = rows.where("doc_id is not null").join(labels.unionByName(several.join(labels, "key", "left_anti").select("key", F.col("key").alias("component"))), "key")
     in_groups = cut(in_groups, "near_copies")
-    least = in_groups.groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    verdicts = look_up(in_groups, cut(least, "least_ids"), "component").select("doc_id", "key", (F.col("doc_id") == F.col("least")).alias("stays"))
+    least = in_groups.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count(F.lit(1)).alias("n"))
+    first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("key") == F.col("least.key"))
+    verdicts = look_up(in_groups, cut(least, "least_ids"), "component").select("doc_id", "key", first.alias("stays"))
     nameless = rows.where("doc_id is null").select("doc_id", "key", F.lit(True).alias("stays"))
     return keep_rows(docs, verdicts.unionByName(nameless), id_col, text_col)

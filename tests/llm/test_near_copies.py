@@ -130,6 +130,8 @@ def test_prefixes_and_blocks_change_nothing(spark, monkeypatch):
 def test_rows_of_one_id_keep_their_texts(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, long), (1, "another text of the same id here"), (2, long + " end"), (None, long), (None, long), (4, long), (4, long), (0, "x y")]
+    twins = spark.createDataFrame([(7, long), (7, long + " end"), (9, long)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.drop_near_copies(twins).collect()] == [7]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, key string")
     out = simhash.drop_near_copies(docs)
     assert out.columns == docs.columns
