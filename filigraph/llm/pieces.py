@@ -32,7 +32,7 @@ _NORMAL, _UNUSED, _BYTE, _CONTROL = 1, 5, 6, 3
 class PieceModel:
     """A merge-type vocabulary with byte fallback and the identity normaliser."""
 
-    def __init__(self, path: str, cache_units: int = 200_000, check: bool = True):
+    def __init__(self, path: str, cache_units: int = 300_000, check: bool = True):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as file:
             proto.ParseFromString(file.read())
