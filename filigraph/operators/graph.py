@@ -12,30 +12,80 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigraph.functions.text import capability_name, clip, display, filled_or_empty, first_filled, risk_name
+from filigraph.work import cut
 
 ATTRIBUTES = ("label", "ticker", "cik", "name", "text", "objective_type", "status", "risk_category")
 
 
+#: Hubs of up to so many vertices are broadcast.
+FEW_HUBS = 500_000
+
+
+@dataclass
+class Hubs:
+    """``rows`` (id, parts): the vertices whose edges lie under several keys; ``count`` of them."""
+
+    rows: DataFrame
+    count: int
+
+    def table(self) -> DataFrame:
+        return F.broadcast(self.rows) if self.count <= FEW_HUBS else self.rows
+
+
+def edge_key(vertex: Column, part: Column) -> Column:
+    """The key of a share of a vertex's edges; the first share's is the vertex itself."""
+    return F.when(part == 0, vertex).otherwise(F.concat(vertex, F.lit("\x01"), part.cast("string")))
+
+
 @dataclass
 class Graph:
-    """``nodes`` (id, attributes, ord) with one row an id; ``edges`` (src, dst, rel, ord) with one row a pair."""
+    """``nodes`` (id, attributes, ord) with one row an id; ``edges`` (src, dst, rel, ord) with one row a pair.
+
+    A stored graph also has its edges by their ends (``into``), keys of shares of the edges, and the hubs, whose edges have several keys.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    into: DataFrame | None = None
+    hubs: Hubs | None = None
+    hubs_into: Hubs | None = None
 
     def cache(self) -> Graph:
         return Graph(self.nodes.cache(), self.edges.cache())
 
-
-def load(nodes: DataFrame, edges: DataFrame) -> Graph:
+    def follow(self, rows: DataFrame, column: str, other: str, rel: str = "rel", ord: str = "ord", back: bool = False) -> DataFrame:
+        """``rows`` with each edge that leaves (``back``: enters) the vertex in ``column``: its other end, relation and place.
+
+        Over stored edges only ``rows`` move: to the buckets of their vertices' keys.
+        """
+        end, far = ("dst", "src") if back else ("src", "dst")
+        found = [F.col(far).alias(other), F.col("rel").alias(rel), F.col("ord").alias(ord)]
+        hubs = self.hubs_into if back else self.hubs
+        if hubs is None:
+            return rows.join(self.edges.select(F.col(end).alias(column), *found), column)
+        edges = self.into if back else self.edges
+        if not hubs.count:
+            return rows.join(edges.select(F.col("key").alias(column), *found), column)
+        parts = rows.join(hubs.table().select(F.col("id").alias(column), "parts"), column, "left")
+        keyed = parts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("__key", edge_key(F.col(column), F.col("__part"))).drop("parts", "__part")
+        same = F.col("__end") == F.col(column)  # a name may look like another one's key
+        return keyed.join(edges.select(F.col("key").alias("__key"), F.col(end).alias("__end"), *found), "__key").where(same).drop("__key", "__end")
+
+
+def load(nodes: DataFrame, edges: DataFrame, write: bool = False) -> Graph:
     """A graph with the semantics of insertion: a repeated node merges attributes (the last filled one wins), a
-    repeated edge keeps its first place and its last relation, and unknown ends become nodes without attributes."""
+    repeated edge keeps its first place and its last relation, and unknown ends become nodes without attributes.
+
+    With ``write`` both tables are written to the work folder, so that operators which read them several times load them once.
+    """
     present = [c for c in ATTRIBUTES if c in nodes.columns]
     last = [F.max_by(c, F.when(F.col(c).isNotNull() & (F.trim(F.col(c)) != ""), F.col("ord"))).alias(c) for c in present]
     merged = nodes.groupBy("id").agg(F.min("ord").alias("ord"), *last)
     links = edges.groupBy("src", "dst").agg(F.max_by("rel", "ord").alias("rel"), F.min("ord").alias("ord"))
+    links = cut(links, "edges") if write else links
     ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(merged, "id", "left_anti")
-    return Graph(merged.unionByName(ends, allowMissingColumns=True), links)
+    everything = merged.unionByName(ends, allowMissingColumns=True)
+    return Graph(cut(everything, "nodes") if write else everything, links)
 
 
 def _text() -> Column:
@@ -54,14 +104,12 @@ def members(graph: Graph, seeds: DataFrame) -> DataFrame:
 
 def one_hop(graph: Graph, seeds: DataFrame, unnamed: str | None = "") -> DataFrame:
     """``seed, n1, e1, o1`` (other columns of the seeds stay); ``unnamed`` stands for a missing relation."""
-    e = graph.edges.select(F.col("src").alias("seed"), F.col("dst").alias("n1"), F.coalesce("rel", F.lit(unnamed)).alias("e1"), F.col("ord").alias("o1"))
-    return seeds.join(e, "seed")
+    return graph.follow(seeds, "seed", "n1", "e1", "o1").withColumn("e1", F.coalesce("e1", F.lit(unnamed)))
 
 
 def next_hop(graph: Graph, paths: DataFrame, k: int, not_back_to: tuple[str, ...], unnamed: str | None = "") -> DataFrame:
     """Paths one edge longer: adds ``n{k}, e{k}, o{k}``, never back to the given vertices."""
-    e = graph.edges.select(F.col("src").alias(f"n{k - 1}"), F.col("dst").alias(f"n{k}"), F.coalesce("rel", F.lit(unnamed)).alias(f"e{k}"), F.col("ord").alias(f"o{k}"))
-    out = paths.join(e, f"n{k - 1}")
+    out = graph.follow(paths, f"n{k - 1}", f"n{k}", f"e{k}", f"o{k}").withColumn(f"e{k}", F.coalesce(f"e{k}", F.lit(unnamed)))
     for column in not_back_to:
         out = out.where(F.col(f"n{k}") != F.col(column))
     return out
@@ -187,7 +235,7 @@ def induced(graph: Graph, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(first.select("seed", F.col("n1").alias("id")))
         .unionByName(second.select("seed", F.col("n2").alias("id"))).distinct()
     )
-    out = inside.withColumnRenamed("id", "src").join(graph.edges, "src")
+    out = graph.follow(inside.withColumnRenamed("id", "src"), "src", "dst")
     return inside, out.join(inside.withColumnRenamed("id", "dst"), ["seed", "dst"], "left_semi").select("seed", "src", "dst", "rel", "ord")
 
 
@@ -197,11 +245,14 @@ def connections(graph: Graph, most: int = 8, ids: DataFrame | None = None) -> Da
     The first lines are found in a window that keeps few rows per node, so hubs cost no more memory.
     """
     label = graph.nodes.select(F.col("id").alias("other"), F.coalesce("label", F.lit("")).alias("other_label"))
-    into = graph.edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "rel", "ord", F.lit(0).alias("side"))
-    out_of = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "rel", "ord", F.lit(1).alias("side"))
+    if ids is None:
+        into = graph.edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "rel", "ord")
+        out_of = graph.edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "rel", "ord")
+    else:
+        wanted = ids.select("id").distinct()
+        into, out_of = graph.follow(wanted, "id", "other", back=True), graph.follow(wanted, "id", "other")
     place = F.row_number().over(Window.partitionBy("id").orderBy("side", "ord", "other"))
-    sides = into.unionByName(out_of)
-    sides = sides if ids is None else sides.join(ids.select("id").distinct(), "id", "left_semi")
+    sides = into.withColumn("side", F.lit(0)).unionByName(out_of.withColumn("side", F.lit(1)))
     top = sides.withColumn("place", place).where(F.col("place") <= most).join(label, "other", "left")
     kind, rel = F.coalesce("other_label", F.lit("")), F.coalesce("rel", F.lit("?"))
     line = F.when(F.col("side") == 0, F.concat(F.lit("  IN:  ["), kind, F.lit("] --"), rel, F.lit("--> this"))).otherwise(
@@ -267,10 +318,13 @@ def size(graph: Graph) -> DataFrame:
 
 def distance_classes(graph: Graph, seeds: DataFrame) -> DataFrame:
     """``seed, id, distance`` (0, 1 or 2) along edges in either direction; farther nodes are not listed."""
-    either = graph.edges.select("src", "dst").unionByName(graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    def around(rows: DataFrame, distance: int) -> DataFrame:
+        near = graph.follow(rows.select("seed", "id"), "id", "next").unionByName(graph.follow(rows.select("seed", "id"), "id", "next", back=True))
+        return near.select("seed", F.col("next").alias("id"), F.lit(distance).alias("distance")).distinct()
+
     start = members(graph, seeds).select("seed", F.col("seed").alias("id"), F.lit(0).alias("distance"))
-    first = start.join(either, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(1).alias("distance")).distinct()
-    second = first.join(either, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), F.lit(2).alias("distance")).distinct()
+    first = around(start, 1)
+    second = around(first, 2)
     return start.unionByName(first).unionByName(second).groupBy("seed", "id").agg(F.min("distance").alias("distance"))
 
 

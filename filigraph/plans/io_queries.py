@@ -268,7 +268,7 @@ TOPIC_SQL = "SELECT conv_id, turn, trim(replace(replace(lower(' What is the ' ||
 
 def triplet_listing(spark, sf_dir):
     """The plain listing that stands in for a drawing: sides cut to 60 characters."""
-    g = star_graph(spark, sf_dir)
+    g = star_graph(spark, sf_dir, write=True)
     return graphs.triplets(g, graphs.induced(g, _seeds(spark, sf_dir))[1], 60)
 
 

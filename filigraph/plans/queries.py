@@ -243,12 +243,11 @@ URL_SQL = """SELECT s_suppkey, 'https://files.example/data/' || ltrim(printf('%0
 # --- graph ---------------------------------------------------------------------------------------
 
 
-#: The graph of a folder of tables is loaded once an application, for all queries that read it.
-_GRAPHS: dict[tuple[str, str], Graph] = {}
+def star_graph(spark: SparkSession, sf_dir: str, write: bool = False) -> Graph:
+    """Regions, nations, customers and order states as a graph; a customer's many orders of a state are parallel edges.
 
-
-def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Regions, nations, customers and order states as a graph; a customer's many orders of a state are parallel edges."""
+    Every query loads it anew; those that read it several times write what they loaded.
+    """
     region, nation, customer, orders = (_table(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders"))
     of = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     none = F.lit(None).cast("string")
@@ -262,10 +261,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     edges = edges.unionByName(orders.select(of("Customer", "o_custkey").alias("src"), of("Status", "o_orderstatus").alias("dst"), F.concat(F.lit("ordered-"), F.substring("o_orderpriority", 1, 1)).alias("rel"), F.col("o_orderkey").alias("ord")))
     # an end that no table describes, by an edge without a relation
     edges = edges.unionByName(nation.select(of("Nation", "n_nationkey").alias("src"), of("Ghost", "n_nationkey").alias("dst"), none.alias("rel"), F.lit(-1).cast("bigint").alias("ord")))
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _GRAPHS:
-        _GRAPHS[key] = graphs.load(nodes, edges).cache()
-    return _GRAPHS[key]
+    return graphs.load(nodes, edges, write)
 
 
 def _seeds(spark: SparkSession, sf_dir: str, topic: str | None = None) -> DataFrame:
@@ -304,7 +300,7 @@ ONE_HOP_SQL = GRAPH_CTE + f"SELECT seed, n1 AS node_id, label, shown AS text, e1
 
 
 def graph_search_topk(spark, sf_dir):
-    return graphs.search(star_graph(spark, sf_dir), _seeds(spark, sf_dir, "an ia"), 10)
+    return graphs.search(star_graph(spark, sf_dir, write=True), _seeds(spark, sf_dir, "an ia"), 10)
 
 
 SEARCH_SQL = GRAPH_CTE + f"""
@@ -317,7 +313,7 @@ SELECT seed, CAST(place AS INT) AS place, node_id, label, text, relation, score,
 
 
 def kg_paths_1_to_3(spark, sf_dir):
-    return graphs.paths(star_graph(spark, sf_dir), _seeds(spark, sf_dir))
+    return graphs.paths(star_graph(spark, sf_dir, write=True), _seeds(spark, sf_dir))
 
 
 PATHS_SQL = GRAPH_CTE + """
@@ -327,7 +323,7 @@ UNION ALL SELECT seed, o1, o2, o3, seed || ' → ' || a.label || ' → ' || b.la
 
 
 def company_overview(spark, sf_dir):
-    o = graphs.overview(star_graph(spark, sf_dir), _seeds(spark, sf_dir), {"missions": "Mission", "capabilities": "Capability"})
+    o = graphs.overview(star_graph(spark, sf_dir, write=True), _seeds(spark, sf_dir), {"missions": "Mission", "capabilities": "Capability"})
     return o.select("ticker", "name", "mission", F.array_join("missions", "|").alias("missions"), F.size("capabilities").alias("capabilities"), "nodes", "edges")
 
 
@@ -340,7 +336,7 @@ FROM seeds JOIN nodes ON id = seed LEFT JOIN a USING (seed) LEFT JOIN b USING (s
 
 
 def compare_companies(spark, sf_dir):
-    both = graphs.compare(star_graph(spark, sf_dir), "Region:0", "Region:1", lists={"missions": "Mission"})
+    both = graphs.compare(star_graph(spark, sf_dir, write=True), "Region:0", "Region:1", lists={"missions": "Mission"})
     return both.select("company1.ticker", F.col("company1.nodes").alias("nodes1"), F.col("company2.nodes").alias("nodes2"), F.col("company1.edges").alias("edges1"), F.col("company2.edges").alias("edges2"), F.size("dimensions").alias("dimensions"))
 
 
@@ -366,7 +362,7 @@ INDUCED_SQL = INSIDE_CTE + "SELECT a.seed, e.src, e.dst, e.rel, e.ord FROM edges
 
 
 def triplets(spark, sf_dir):
-    g = star_graph(spark, sf_dir)
+    g = star_graph(spark, sf_dir, write=True)
     return graphs.triplets(g, graphs.induced(g, _seeds(spark, sf_dir))[1])
 
 
@@ -396,7 +392,7 @@ SELECT r.id, CAST(place AS INT) AS place, CASE WHEN side = 0 THEN '  IN:  [' ||
 
 
 def node_views(spark, sf_dir):
-    g = star_graph(spark, sf_dir)
+    g = star_graph(spark, sf_dir, write=True)
     seeds = _seeds(spark, sf_dir)
     near = graphs.one_hop(g, seeds).select(F.col("n1").alias("id")).unionByName(seeds.select(F.col("seed").alias("id")))
     return graphs.node_view(g, near, {"Region": "#2962a8"}, {"Region": 35}).select("id", "display", "color", "size", F.substring("tooltip", 1, 40).alias("tooltip"))
@@ -549,7 +545,7 @@ CONTEXT_SQL = _PLACED + "SELECT doc_id AS key, string_agg(printf('[Evidence %d]
 
 
 def kg_context_grouped(spark, sf_dir):
-    hits = graphs.search(star_graph(spark, sf_dir), _seeds(spark, sf_dir, "an ia"), 10).withColumnRenamed("seed", "key")
+    hits = graphs.search(star_graph(spark, sf_dir, write=True), _seeds(spark, sf_dir, "an ia"), 10).withColumnRenamed("seed", "key")
     return answers.graph_context(hits)
 
 
@@ -565,7 +561,7 @@ def answer_extractive(spark, sf_dir):
     place = F.row_number().over(Window.orderBy("seed")) - 1
     numbered = regions.withColumn("k", place).withColumn("regions", F.count(F.lit(1)).over(Window.partitionBy()))  # a handful of regions
     of = docs.select("doc_id").join(F.broadcast(numbered), F.pmod("doc_id", F.col("regions")) == F.col("k")).select(F.col("doc_id").alias("key"), "seed")
-    hits = of.join(F.broadcast(graphs.search(star_graph(spark, sf_dir), regions, 4)), "seed").drop("seed")  # at most four hits a region
+    hits = of.join(F.broadcast(graphs.search(star_graph(spark, sf_dir, write=True), regions, 4)), "seed").drop("seed")  # at most four hits a region
     profile = docs.select(F.col("doc_id").alias("key"), F.concat(F.lit("Name of "), "ticker").alias("name"), F.lit(None).cast("string").alias("mission"), F.lit("Strong").alias("alignment_label"))
     return answers.extractive(profile, _ranked_chunks(spark, sf_dir), hits).select("key", F.md5("answer").alias("digest"), F.length("answer").cast("bigint").alias("chars"))
 
