@@ -15,8 +15,10 @@ RENUMBERED = {n: unescape(f"&#{n};") for n in (0, *range(0x80, 0xA0))}
 #: Names that may stand without a semicolon.
 _BARE = "|".join(sorted((n for n in NAMED if not n.endswith(";")), key=lambda n: (-len(n), n)))
 REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{_BARE}))"
-#: A tag whose quoted attributes may hold any character, a comment, a declaration or an instruction.
-TAG = r"""<!--.*?-->|</?[A-Za-z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*+>"""
+_ATTRIBUTES = r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
+#: Markup from left to right: a comment, a script or style with all that it holds, a tag (its quoted attributes may hold any character), a declaration or an
+#: instruction. What begins first holds what lies within it, so a script tag in a comment or an attribute opens nothing.
+MARKUP = rf"(?is)<!--.*?-->|<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>.*?(?:</\1\s*>|\z)|</?[a-z]{_ATTRIBUTES}>|<[!?][^>]*+>"
 
 
 def once(c: Column) -> Column:
@@ -131,6 +133,5 @@ def decode_entities(c: Column) -> Column:
 
 def html_text(c: Column) -> Column:
     """The text of a page: no scripts, styles or comments; a line for each text between tags; no blank lines."""
-    bare = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)", "\n")
-    lines = F.split(decode_entities(F.regexp_replace(bare, f"(?s){TAG}", "\n")), r"\R")
+    lines = F.split(decode_entities(F.regexp_replace(c, MARKUP, "\n")), r"\R")
     return F.array_join(F.filter(F.transform(lines, strip), lambda x: x != ""), "\n")

@@ -204,10 +204,10 @@ def page_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.coalesce("html", F.lit(""))).alias("text"))
 
 
-_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b[^>]*>.*?</script\s*>', chr(10), 'gis'), '<style\b[^>]*>.*?</style\s*>', chr(10), 'gis'), '<!--.*?-->', chr(10), 'gs')"""
+_MARKUP = r"<!--.*?-->|<script(\s[^>]*)?>.*?</script\s*>|<style(\s[^>]*)?>.*?</style\s*>|<[^>]*>"
 #: Code points of references that pages may have, independent of the engine's table.
 _REFS = {"lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 160, "copy": 169, "middot": 183, "frac12": 189, "eacute": 233, "ndash": 8211, "mdash": 8212, "hellip": 8230}
-_DECODED = f"regexp_replace({_PLAIN}, '<[^>]*>', chr(10), 'gs')"
+_DECODED = f"regexp_replace(coalesce(html, ''), '{_MARKUP}', chr(10), 'gis')"
 for _name, _code in _REFS.items():
     _DECODED = f"replace({_DECODED}, '&{_name};', chr({_code}))"
 PAGE_CTE = f"""

@@ -2,6 +2,8 @@ from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from filigraph.functions import text as tx
@@ -92,7 +94,27 @@ def parsed(page):
 PAGES = [
     '<p title="a > b">x</p><a href=\'q>"r\'>y</a z="1">', "caf&eacute; &frac12; &frac12 &copy2024 &notit; &unknown; &amp;lt; &lt;b&gt; AT&T", "&#150;&#x93;q&#148; &#8364; &#0; &#xD800; &#x110000; &#128 &#x41",
     "a<!-- <b> -->b<br/>c < d 2<3", "<script>if (a<b) {}</script>t<STYLE media='x>y'>p{}</STYLE >u", "&NotEqualTilde;&CounterClockwiseContourIntegral; &Aacute&aacute;", "<p>open <b>never closed", "", "&", "&#;&#x;&;",
+    "<p>a</p><!-- <script> --><p>b</p>", "<p title='<script>'>a</p><p>b</p>", "<p>a</p><script>'<!--'</script><p>b</p><!-- </script> --><p>c</p>", "<script/><p>a</p>", "<scripty>a</scripty><styles>b</styles>",
+    "<style>/* <script> */</style>a<script>s = '</style>'</script>b", "a<!-- <style> -- <!-- -->b<script>x</SCRIPT\n>c", "<a b=\"<!--\">a</a>-->b", "<!DOCTYPE html><p>a</p>",
 ]
+PARTS = ["<p>", "</p>", "x", " y ", "\n", "<!-- ", " -->", "<script>", "</script>", "<style a='>'>", "</style>", "<br/>", "<a t='<script>'>", '<a t="-->">', "&amp;", "&lt;"]
+
+
+@settings(max_examples=15, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), min_size=60, max_size=60))
+def test_html_of_any_order_of_parts(spark, pages):
+    """Comments and scripts that end; what never ends is read in ways that differ."""
+    whole = [p for p in pages if ends(p)]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(whole)], "i int, v string").select("i", tx.html_text(F.col("v")).alias("r")).collect()
+    for r in rows:
+        assert r["r"] == parsed(whole[r["i"]]), whole[r["i"]]
+
+
+def ends(page):
+    """Whether every comment and script ends before the page does."""
+    reader = Reader()
+    reader.feed(page)
+    return reader.rawdata == ""
 
 
 def test_html_equals_the_standard_parser(spark, sf):
