@@ -5,8 +5,10 @@ Files go to the shared work folder and are read back by the engine's own readers
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filigraph import schemas
@@ -28,13 +30,17 @@ def _by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filing_manifest(spark, sf_dir):
-    """The manifest as a table, from rows that the driver holds; the addresses of each filing."""
-    filings = readers.filings(spark, [("AAA", "0000000123", "0000000123-24-000001", "aaa.htm"), ("BBB", "0012300000", "0012300000-24-000002", "b b.htm"), ("CCC", "0", "0-0-0", "")])
-    return filings.select("*", readers.filing_url("https://files.example").alias("url"))
+    """A manifest of the suppliers, written as CSV and read as one; the addresses of each filing."""
+    path = new_path(spark, "manifest")
+    s = _table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit('"'), F.lower("s_name"), F.lit(', x".htm'))
+    rows = s.select(F.concat(F.lit("S"), "s_suppkey").alias("ticker"), F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"), F.format_string("%010d-24-%06d", "s_suppkey", "s_nationkey").alias("accession"), name.alias("filename"))
+    rows.write.csv(path, header=True, quote='"', escape='"')
+    return readers.filing_list(spark, path).select("*", readers.filing_url("https://files.example").alias("url"))
 
 
-MANIFEST_SQL = """SELECT ticker, cik, accession, filename, 'https://files.example/' || ltrim(cik, '0') || '/' || replace(accession, '-', '') || '/' || filename AS url
-FROM (VALUES ('AAA', '0000000123', '0000000123-24-000001', 'aaa.htm'), ('BBB', '0012300000', '0012300000-24-000002', 'b b.htm'), ('CCC', '0', '0-0-0', '')) v(ticker, cik, accession, filename)"""
+MANIFEST_SQL = """WITH f AS (SELECT 'S' || s_suppkey AS ticker, printf('%010d', s_suppkey) AS cik, printf('%010d-24-%06d', s_suppkey, s_nationkey) AS accession, '"' || lower(s_name) || ', x".htm' AS filename FROM supplier)
+SELECT *, 'https://files.example/' || ltrim(cik, '0') || '/' || replace(accession, '-', '') || '/' || filename AS url FROM f"""
 
 
 def section_store(spark, sf_dir):
@@ -94,24 +100,30 @@ _CHUNK_ROWS = CHUNK_CTE + "SELECT chunk_id, coalesce(lang, 'none') AS ticker, 'I
 ONE_CHUNK_FILE_SQL = f"SELECT * FROM ({_CHUNK_ROWS}) WHERE ticker = 'en'"
 
 
+def _placed(table, *order):
+    """The rows with their place within their document, by the order of the files."""
+    doc = F.split("id" if "id" in table.columns else "src", ":")[1]
+    return table.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("ord", *order)))
+
+
 def graph_file_nodes(spark, sf_dir):
-    """Nodes through the CSV files: records in JSON, then both files, then their readers."""
-    return _built(spark, sf_dir)[0].select("id", "label", "ticker", "name", "text", "objective_type", "status", "risk_category")
+    """Nodes through the CSV files, in order: records in JSON, then both files, then their readers."""
+    return _placed(_built(spark, sf_dir)[0]).select("id", "label", "ticker", "name", "text", "objective_type", "status", "risk_category", "place")
 
 
 def graph_file_edges(spark, sf_dir):
-    return _built(spark, sf_dir)[1].select("src", "dst", "rel")
+    return _placed(_built(spark, sf_dir)[1]).select("src", "dst", "rel", "place")
 
 
-def _built(spark, sf_dir):
+def _built(spark, sf_dir, path=None):
     companies = _docs(spark, sf_dir).select("ticker", F.concat(F.lit('Doc "'), "ticker", F.lit('"')).alias("name"))
-    return build.build_all(_docs(spark, sf_dir), new_path(spark, "graph_files"), LEXICON, companies.where(F.col("ticker").cast("long") % 2 == 0))
+    return build.build_all(_docs(spark, sf_dir), path or new_path(spark, "graph_files"), LEXICON, companies.where(F.col("ticker").cast("long") % 2 == 0))
 
 
 GRAPH_NODES_SQL = f"""SELECT id, label, CASE WHEN label = 'Company' THEN split_part(id, ':', 2) END AS ticker,
   CASE WHEN CAST(split_part(id, ':', 2) AS BIGINT) % 2 = 0 AND label = 'Company' THEN 'Doc "' || split_part(id, ':', 2) || '"' ELSE nullif(trim(name, E' \n\t\r'), '') END AS name,
-  text, objective_type, status, risk_category FROM ({KG_NODES_SQL})"""
-GRAPH_EDGES_SQL = f"SELECT src, dst, rel FROM ({KG_EDGES_SQL})"
+  text, objective_type, status, risk_category, CAST(row_number() OVER (PARTITION BY split_part(id, ':', 2) ORDER BY ord, id) AS INT) AS place FROM ({KG_NODES_SQL})"""
+GRAPH_EDGES_SQL = f"SELECT src, dst, rel, CAST(row_number() OVER (PARTITION BY split_part(src, ':', 2) ORDER BY ord, src, dst) AS INT) AS place FROM ({KG_EDGES_SQL})"
 
 
 def record_files(spark, sf_dir):
@@ -129,17 +141,28 @@ RECORD_SQL = REC_CTE + """SELECT CAST(doc_id AS VARCHAR) AS ticker, md5(mission)
 
 
 def missing_sources(spark, sf_dir):
-    """Sources that are not there are empty tables of their schema."""
-    gone = new_path(spark, "gone")
-    tables = {"sections": readers.sections(spark, gone), "chunks": readers.chunks(spark, gone), "nodes": readers.nodes(spark, gone), "edges": readers.edges(spark, gone), "records": readers.records(spark, gone)}
-    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("source"), "n", F.lit(len(t.columns)).alias("columns")) for k, t in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
-
-
-MISSING_SQL = "SELECT * FROM (VALUES ('sections', 0::BIGINT, 2), ('chunks', 0, 7), ('nodes', 0, 10), ('edges', 0, 4), ('records', 0, 7)) v(source, n, columns)"
+    """Each source read where it is and where nothing is: rows, none, and the columns of both."""
+    here, gone = new_path(spark, "here"), new_path(spark, "gone")
+    names = _table(spark, sf_dir, "customer").select(F.concat(F.lit("N/"), F.col("c_nationkey").cast("string")).alias("ticker"), F.col("c_name").alias("text"))
+    sinks.write_section_files(names, f"{here}/sections").count()
+    sinks.write_chunk_files(_languages_chunked(spark, sf_dir), f"{here}/chunks").count()
+    _built(spark, sf_dir, f"{here}/graph")
+    read = {
+        "sections": (readers.sections, "sections"), "chunks": (readers.chunks, "chunks"), "nodes": (readers.nodes, "graph/nodes.csv"),
+        "edges": (readers.edges, "graph/edges.csv"), "records": (lambda s, p: readers.records(s, p, lines=True), "graph/records"),
+    }
+    parts = []
+    for name, (reader, path) in read.items():
+        there, absent = reader(spark, f"{here}/{path}"), reader(spark, f"{gone}/{path}")
+        both = there.select(F.lit(1).alias("n"), F.lit(0).alias("none")).unionAll(absent.select(F.lit(0), F.lit(1)))
+        columns = F.lit(len(there.columns) if there.columns == absent.columns else -1)
+        parts.append(both.agg(F.sum("n").alias("n"), F.sum("none").alias("missing")).select(F.lit(name).alias("source"), "n", "missing", columns.alias("columns")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+MISSING_SQL = f"""SELECT 'sections' AS source, count(DISTINCT c_nationkey) AS n, 0::BIGINT AS missing, 2 AS columns FROM customer
+UNION ALL SELECT 'chunks', count(*), 0, 7 FROM ({CHUNK_CTE} SELECT * FROM chunks) UNION ALL SELECT 'nodes', count(*), 0, 10 FROM ({KG_NODES_SQL})
+UNION ALL SELECT 'edges', count(*), 0, 4 FROM ({KG_EDGES_SQL}) UNION ALL SELECT 'records', count(*), 0, 7 FROM ({REC_CTE} SELECT * FROM rec)"""
 
 
 def _supplier_page(url: str) -> str:

@@ -1,6 +1,7 @@
 import json
 import os
 
+from filigraph import schemas
 from filigraph.operators import answers, retrieval
 from filigraph.plans.ask import AskConfig, ask
 from filigraph.plans.build import build
@@ -203,3 +204,63 @@ def test_work_tables_can_be_discarded(spark):
     work.discard(table)
     work.discard(spark.range(1).toDF("id"))
     assert not os.path.exists(place)
+
+
+def test_rows_keep_their_order_over_several_files(spark, tmp_path):
+    """400 nodes and edges, the first files small and the last ones large, more files than ten."""
+    n = 400
+    nodes = spark.createDataFrame([(f"N:{i}", "L", None, None, "x" * i, None, None, None, None, i) for i in range(n)], schemas.NODE)
+    edges = spark.createDataFrame([(f"N:{i}", f"N:{i + 1}", "r" * i, i) for i in range(n)], schemas.EDGE)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        sinks.write_graph(nodes.repartition(7), edges.repartition(7), str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(list((tmp_path / "nodes.csv").glob("part-*.csv"))) > 10
+    got = readers.nodes(spark, str(tmp_path / "nodes.csv")).orderBy("ord").collect()
+    assert [r["id"] for r in got] == [f"N:{i}" for i in range(n)] and len({r["ord"] for r in got}) == n
+    assert [r["src"] for r in readers.edges(spark, str(tmp_path / "edges.csv")).orderBy("ord").collect()] == [f"N:{i}" for i in range(n)]
+
+
+def test_files_in_the_order_of_their_numbers():
+    assert readers._in_order(["a/part-100000", "a/part-99999", "a/part-2", "a/b"]) == ["a/b", "a/part-2", "a/part-99999", "a/part-100000"]
+
+
+def test_files_of_odd_tickers(spark, tmp_path):
+    """Slashes, blanks, patterns, names that readers would skip, the empty ticker and none: each has its file and comes back."""
+    tickers = ["BRK/B", "a b", "é%2F", "_x", ".y", "A*", "[z]", "", None, "A+B", "..", "{q,r}"]
+    rows = [(t, f"{i} ä\n") for i, t in enumerate(tickers)] + [("BRK/B", "more")]
+    path = f"file://{tmp_path}/files"
+    listed = {r["ticker"]: (r["file"], r["rows"]) for r in sinks.write_section_files(spark.createDataFrame(rows, "ticker string, text string"), path).collect()}
+    assert set(listed) == set(tickers) and listed["BRK/B"] == ("BRK%2FB_item1.txt", 2)
+    got = {r["ticker"]: r["text"] for r in readers.sections(spark, path).collect()}
+    assert got == {t: f"{i} ä\n" for i, t in enumerate(tickers)} | {"BRK/B": "0 ä\n\nmore"}
+    assert not [p for p in (tmp_path / "files").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+    chunks = spark.createDataFrame([(f"c{i}", t, "s", 1, 0, 1, "x") for i, t in enumerate(tickers)], schemas.CHUNK)
+    for _ in range(2):  # a second run replaces the files
+        sinks.write_chunk_files(chunks, f"{path}2").count()
+    assert {r["ticker"] for r in readers.chunks(spark, f"{path}2").collect()} == set(tickers)
+    for i, t in enumerate(tickers):
+        if t is not None:
+            assert [r["chunk_id"] for r in readers.chunks(spark, f"{path}2", t).collect()] == [f"c{i}"], t
+
+
+def test_rerank_falls_back_for_the_whole_question(spark):
+    hits = spark.createDataFrame([(f"c{i}", f"text {i}", i / 10) for i in range(6)], "chunk_id string, text string, score double").repartition(3)
+
+    def raises(pairs):
+        raise RuntimeError("overloaded")
+
+    def fails_on_one(pairs):
+        if any(t == "text 3" for _, t in pairs):
+            raise RuntimeError("too long")
+        return [-9.0] * len(pairs)
+
+    for model in (raises, fails_on_one, lambda pairs: [1.0]):
+        got = retrieval.rerank(hits, F.lit("q"), 3, retrieval.ModelScorer(lambda model=model: model)).collect()
+        assert [(r["chunk_id"], r["rerank_score"]) for r in got] == [("c5", None), ("c4", None), ("c3", None)]
+    got = retrieval.rerank(hits, F.lit("q"), 3, retrieval.ModelScorer(lambda: lambda pairs: [-float(t[-1]) for _, t in pairs])).collect()
+    assert [r["chunk_id"] for r in got] == ["c0", "c1", "c2"]
