@@ -125,8 +125,8 @@ def test_odd_vectors_have_no_place(spark):
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     assert [r["vec_id"] for r in retrieval.nearest(vectors, [1.0, 0.0], 5).collect()] == [1, 5]
     asked = vectors.withColumnRenamed("vec_id", "query_id")
-    for tile, copies in ((4096, 16), (1, 2)):
-        got = retrieval.nearest_to_each(vectors, asked, 2, tile=tile, copies=copies).collect()
+    for tile, share_rows in ((4096, 1), (1, 2)):
+        got = retrieval.nearest_to_each(vectors, asked, 2, tile=tile, share_rows=share_rows).collect()
         pairs = sorted((r["query_id"], r["vec_id"], r["place"]) for r in got if r["query_id"] != 3)
         assert pairs == [(1, 1, 1), (1, 5, 2), (5, 1, 1), (5, 5, 2)]
     assert retrieval.nearest_to_each(vectors.where("false"), asked, 2).count() == 0 == retrieval.nearest_to_each(vectors, asked.where("false"), 2).count()
