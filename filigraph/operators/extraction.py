@@ -1,6 +1,6 @@
 """Rule-based extraction of a typed property graph, one projection per document.
 
-Keywords are literals of the plan, so a document meets its lexicon where it is read: no join
+A document meets its lexicon where it is read, as literals of the plan or as one automaton: no join
 and no shuffle before nodes are deduplicated.
 """
 
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from filigraph import schemas
 from filigraph.functions.models import model_answer
 from filigraph.functions.text import let, once, slug, strip, words
+from filigraph.operators import lexicon_table
 from filigraph.operators.lexicon import Lexicon
+from filigraph.operators.lexicon_table import LexiconTable
 
 _NODE_COLUMNS = [x.split()[0] for x in schemas.NODE.split(", ")]
 
@@ -28,15 +30,16 @@ def mission(text: Column, lexicon: Lexicon) -> Column:
     return F.coalesce(said, F.substring(sentence, 1, 500))
 
 
-def sentence_around(text: Column, lower: Column, keyword: Column) -> Column:
-    """The sentence around a keyword's first place; null where it is absent. Without a stop 201 characters follow."""
+def sentence_at(text: Column, at: Column) -> Column:
+    """The sentence around a place (from 1); null at 0. Without a stop 201 characters follow."""
+    left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
+    tail = let(F.substring(text, at, F.length(text)), lambda right: F.when(F.contains(right, F.lit(".")), F.concat(F.substring_index(right, ".", 1), F.lit("."))).otherwise(F.substring(right, 1, 201)))
+    return F.when(at > 0, strip(F.concat(left, tail)))
 
-    def at_place(at: Column) -> Column:
-        left = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1)
-        tail = let(F.substring(text, at, F.length(text)), lambda right: F.when(F.contains(right, F.lit(".")), F.concat(F.substring_index(right, ".", 1), F.lit("."))).otherwise(F.substring(right, 1, 201)))
-        return F.when(at > 0, strip(F.concat(left, tail)))
 
-    return let(F.position(keyword, lower), at_place)
+def sentence_around(text: Column, lower: Column, keyword: Column) -> Column:
+    """The sentence around a keyword's first place; null where it is absent."""
+    return let(F.position(keyword, lower), lambda at: sentence_at(text, at))
 
 
 def objectives(text: Column, lexicon: Lexicon) -> Column:
@@ -68,21 +71,28 @@ def risks(text: Column, lexicon: Lexicon) -> Column:
     return F.slice(F.filter(found, lambda r: r["name"].isNotNull()), 1, lexicon.most_risks)
 
 
-def extract(sections: DataFrame, lexicon: Lexicon | None = None, shortest: int = 100) -> DataFrame:
+def extract(sections: DataFrame, lexicon: Lexicon | LexiconTable | None = None, shortest: int = 100) -> DataFrame:
     """The record of each ``ticker, cik, text`` row; texts under ``shortest`` characters have none.
 
-    ``cik`` is optional. A ``record`` column of the record's type, as a language model gives it, goes before the rules.
+    ``cik`` is optional. A ``record`` column of the record's type, as a language model gives it, goes before the rules. Keywords of a
+    :class:`Lexicon` are literals of the plan; those of a :class:`LexiconTable`, which may be very many, are found by one automaton.
     """
     lexicon = lexicon or Lexicon()
     text = F.col("text")
+    if isinstance(lexicon, LexiconTable):
+        sections = sections.where(F.length("text") >= shortest).withColumn("__hits", lexicon_table.finder(lexicon.keywords)(F.lower("text")))
+        hits = F.col("__hits")
+        found = (lexicon_table.objectives(hits, text, sentence_at, lexicon), lexicon_table.capabilities(hits, lexicon), lexicon_table.risks(hits, lexicon))
+    else:
+        found = (objectives(text, lexicon), capabilities(text, lexicon), risks(text, lexicon))
     cik = F.col("cik") if "cik" in sections.columns else F.lit(None).cast("string")
     said = mission(text, lexicon)
     fields = {
         "Mission": F.when(said.isNotNull(), F.struct(said.alias("text"))),
-        "StrategicObjective": objectives(text, lexicon),
-        "Capability": capabilities(text, lexicon),
+        "StrategicObjective": found[0],
+        "Capability": found[1],
         "Initiative": initiatives(text, lexicon),
-        "RiskTheme": risks(text, lexicon),
+        "RiskTheme": found[2],
     }
     if "record" in sections.columns:
         fields = {k: F.when(F.col("record").isNotNull(), F.col(f"record.{k}")).otherwise(v) for k, v in fields.items()}
