@@ -14,39 +14,57 @@ from pyspark.sql import functions as F
 
 from filigraph.llm.shared import cut, sized, text_key, text_or_empty
 
-#: Titles by grammatical gender, as written before a name.
-MALE = "Mr|Herr|Sr|Señor|Don|Monsieur|г-н|Κύριος"
-FEMALE = "Mrs|Ms|Miss|Frau|Sra|Srta|Señora|Doña|Madame|Mme|Mlle|г-жа|Κυρία"
-NEUTRAL = "Mx|Dr|Prof"
-#: Given names by gender and script.
-GIVEN = {
-    ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo".split(),
-    ("f", "latin"): "Alma Berta Clara Diana Elena Flora Greta Helena".split(),
-    ("n", "latin"): "Alex Charlie Kim Luca Noa Robin Sascha Toni".split(),
-    ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Павел".split(),
-    ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга".split(),
-    ("n", "cyrillic"): "Саша Женя Валя Слава Паша Шура Витя Лера".split(),
-    ("m", "greek"): "Αλέξης Γιώργος Δήμος Ηλίας Κώστας Νίκος Πέτρος Σπύρος".split(),
-    ("f", "greek"): "Άννα Βίκη Δήμητρα Ελένη Ζωή Κατερίνα Μαρία Σοφία".split(),
-    ("n", "greek"): "Άρης Βάσω Γωγώ Ήβη Θέμις Μάκης Ρένα Φώτης".split(),
+#: Titles by grammatical gender, as written before a name; several may follow each other.
+MALE = "Mr|Herrn|Herr|Señor|Sr|Sir|Signor|Don|Monsieur|г-н|Κύριος"
+FEMALE = "Mrs|Ms|Miss|Frau|Señora|Srta|Sra|Signora|Doña|Madame|Mme|Mlle|г-жа|Κυρία"
+NEUTRAL = "Mx|Dr|Doctor|Doktor|Professor|Prof"
+TITLES = f"{MALE}|{FEMALE}|{NEUTRAL}"
+#: What stands in lower case before a family name. It stays.
+PARTICLES = "de|del|della|di|da|dos|das|do|du|des|la|las|los|le|van|von|der|den|ter|ten|zu|zur|zum|vom|af|av|el|al|bin|ibn|y"
+#: Given names are composed of one of 16 beginnings, 8 middles and 8 endings of their script and gender.
+BEGINNINGS = {
+    "latin": "Al Be Ca Da El Fa Ge Ha Il Jo Ka Le Ma No Or Pa".split(),
+    "cyrillic": "Ал Бо Ва Га Да Ев Жа Зо Ил Ка Ла Ми На Ол Па Ро".split(),
+    "greek": "Αλ Βα Γε Δη Ελ Ζη Θα Ιω Κα Λε Μα Νι Ξε Ορ Πα Σο".split(),
 }
+MIDDLES = {"latin": "ba de fi go li me no ra".split(), "cyrillic": "бо ва ди ли мо на ре са".split(), "greek": "βα δι λε μο νι ρα σα τη".split()}
+ENDINGS = {
+    ("m", "latin"): "n s r l ndo rt mir vin".split(),
+    ("f", "latin"): "na la ra sa nda lia tte via".split(),
+    ("n", "latin"): "li mi ri ke ni xi ry sy".split(),
+    ("m", "cyrillic"): "н р м слав мир тин дар лий".split(),
+    ("f", "cyrillic"): "на ра ла ва лия рия ста дия".split(),
+    ("n", "cyrillic"): "я ша ня ля ка ся тя ни".split(),
+    ("m", "greek"): "ς νης ρος λος τας κης δης μος".split(),
+    ("f", "greek"): "να ρα λα νη σία ρία δα κη".split(),
+    ("n", "greek"): "ρι νι λι τι κι μι δι σι".split(),
+}
+#: All given names by gender and script, in the order of their numbers.
+GIVEN = {(g, s): [a + b + c for a in BEGINNINGS[s] for b in MIDDLES[s] for c in ends] for (g, s), ends in ENDINGS.items()}
+_NAMES = 1024
+#: A namesake gets this many other names of the list before one joins its permuted name to the list's.
+_OTHERS_FIRST = 3
 #: First code point and size of each character class that is permuted within itself.
 CLASSES = (
     (0x30, 10), (0x61, 26), (0x41, 26), (0xE0, 23), (0xF8, 7), (0xC0, 23), (0xD8, 7), (0x430, 32), (0x410, 32), (0x3B1, 25), (0x391, 17),
     (0x3A3, 7), (0x5D0, 27), (0x621, 26), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172),
 )
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: A name of two letters or more, with apostrophes and hyphens inside it, but without a genitive's; no title. Initials with and without stops.
+_NAME = rf"(?!(?:{TITLES})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}++|['’-](?!s(?!\p{{L}}))\p{{L}})++"
+_INITIAL = r"(?:(?:\p{Lu}\.){1,4}|\p{Lu}(?![\p{L}.'’]))"
+_RUN_OF_TITLES = rf"(?:(?:{TITLES})\.? ){{1,4}}"
+_FAMILY_NAME = rf"(?:(?:{PARTICLES}) ){{0,3}}{_NAME}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9](?:[ .-]?[0-9]){5,12}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9-])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.?) {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}]){_RUN_OF_TITLES}(?:(?:{_NAME}|{_INITIAL}) ){{0,3}}{_FAMILY_NAME}",
 }
 #: The same patterns in this order, each behind a look at its first character; texts without an @ are read without the first.
-_OTHERS = rf"(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in ('ip', 'phone', 'ssn', 'card'))})|(?=[{''.join(sorted({t[0] for t in '|'.join((MALE, FEMALE, NEUTRAL)).split('|')}))}]){PATTERNS['name']}"
+_OTHERS = rf"(?=[0-9+(])(?:{'|'.join(PATTERNS[k] for k in ('ip', 'phone', 'ssn', 'card'))})|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]){PATTERNS['name']}"
 ENTITY = f"{PATTERNS['email']}|{_OTHERS}"
 #: Country calling codes of one and two digits; all others have three.
 CALLING_CODE = "^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
@@ -112,23 +130,51 @@ def _ip(value: Column, key: str, tweak: Column) -> Column:
     return _let(state, lambda s: F.concat_ws(".", *[x.cast("string") for x in (F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256)]))
 
 
+def _titles(value: Column) -> Column:
+    """The titles in front of a name, with the blank behind them."""
+    return F.regexp_extract(value, f"^{_RUN_OF_TITLES}", 0)
+
+
+def _untitled(value: Column) -> Column:
+    return _let(F.length(_titles(value)), lambda n: F.substring(value, n + 1, F.length(value)))
+
+
+def _short(value: Column) -> Column:
+    """The first and the last word of a name without its titles."""
+    return _let(F.split(_untitled(value), " "), lambda w: F.concat_ws(" ", w[0], F.element_at(w, -1)))
+
+
+def _last(value: Column) -> Column:
+    return F.element_at(F.split(value, " "), -1)
+
+
 def _name(value: Column, key: str, attempt: Column) -> Column:
-    """The title stays; a given name comes from the list of its gender and script, a family name is permuted.
+    """Titles and particles stay, initials are permuted; given names come from the list of their gender and script, the family name is permuted.
 
-    The family name depends on itself and the attempt's multiple of ``_FAMILY`` only, so all mentions share it.
-    What is left of the attempt joins the permuted given name to the one of the list, which tells namesakes apart.
+    The gender is that of the first title that has one. The family name depends on itself and the attempt's multiple of ``_FAMILY`` only, so all mentions share it.
+    What is left of the attempt chooses other given names of the list, and at last joins the permuted given name to it, which tells namesakes apart.
     """
-    parts = F.split(value, " ")
-    title, family = parts[0], F.element_at(parts, -1)
-    given = F.when(F.size(parts) > 2, parts[1])
-    gender = F.when(F.regexp_replace(title, "\\.$", "").rlike(f"^({MALE})$"), "m").when(F.regexp_replace(title, "\\.$", "").rlike(f"^({FEMALE})$"), "f").otherwise("n")
-    script = F.when(family.rlike("^[\\u0400-\\u04FF]"), "cyrillic").when(family.rlike("^[\\u0370-\\u03FF\\u1F00-\\u1FFF]"), "greek").otherwise("latin")
-    lists = F.create_map(*[x for (g, s), names in GIVEN.items() for x in (F.lit(g + s), F.array(*[F.lit(n) for n in names]))])
-    pick = F.conv(F.substring(_stream(key, F.lit("name:"), 9, F.lower(given)), 1, 6), 16, 10).cast("int") % 8
-    own = (attempt % _FAMILY).cast("string")
-    new_given = F.concat_ws("-", F.get(F.element_at(lists, F.concat(gender, script)), pick), F.when(own != "0", permuted(given, key, F.concat(F.lit("given:"), own))))
-    tweak = F.concat(F.lit("name:"), script, F.lit(":"), F.floor(attempt / _FAMILY).cast("string"))
-    return F.concat_ws(" ", title, F.when(given.isNotNull(), new_given), permuted(family, key, tweak))
+    own, script_of = attempt % _FAMILY, lambda family: F.when(family.rlike("^[\\u0400-\\u04FF]"), "cyrillic").when(family.rlike("^[\\u0370-\\u03FF\\u1F00-\\u1FFF]"), "greek").otherwise("latin")
+    titles = F.transform(F.split(F.rtrim(_titles(value)), " "), lambda t: F.regexp_replace(t, "\\.$", ""))
+    genders = F.filter(F.transform(titles, lambda t: F.when(t.rlike(f"^(?:{MALE})$"), "m").when(t.rlike(f"^(?:{FEMALE})$"), "f")), lambda g: g.isNotNull())
+    table = lambda lists: F.create_map(*[x for k, names in lists.items() for x in (F.lit("".join(k)), F.array(*[F.lit(n) for n in names]))])
+
+    def from_list(given: Column, gender: Column, script: Column) -> Column:
+        number = (F.conv(F.substring(_stream(key, F.lit("name:"), 9, F.lower(given)), 1, 6), 16, 10).cast("int") + own * 331) % _NAMES
+        name = _let(number, lambda n: F.concat(
+            F.get(F.element_at(table(BEGINNINGS), script), F.floor(n / 64).cast("int")), F.get(F.element_at(table(MIDDLES), script), (F.floor(n / 8) % 8).cast("int")),
+            F.get(F.element_at(table(ENDINGS), F.concat(gender, script)), (n % 8).cast("int")),
+        ))
+        return F.concat_ws("-", name, F.when(own > _OTHERS_FIRST, permuted(given, key, F.concat(F.lit("given:"), own.cast("string")))))
+
+    def whole(parts: Column) -> Column:
+        family, gender = F.element_at(parts, -1), F.coalesce(F.get(genders, F.lit(0)), F.lit("n"))
+        script = script_of(family)
+        given = lambda w: F.when(w.rlike("^\\p{Ll}"), w).when(w.rlike(f"^{_INITIAL}$"), permuted(w, key, F.lit("initial:"))).otherwise(from_list(w, gender, script))
+        tweak = F.concat(F.lit("name:"), script, F.lit(":"), F.floor(attempt / _FAMILY).cast("string"))
+        return F.array_join(F.concat(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), given), F.array(permuted(family, key, tweak))), " ")
+
+    return F.concat(_titles(value), _let(F.split(_untitled(value), " "), whole))
 
 
 def kind_of(value: Column) -> Column:
@@ -196,11 +242,11 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def settle(values: DataFrame, key: str, rounds: int = 12) -> DataFrame:
     """(kind, value, attempt, surrogate): no two values share a surrogate and no surrogate is a value of the corpus.
 
-    Of values that collide the least keeps its surrogate, all others try again: a full name with another
-    given name, a name without one with another family name, in which all names of the family follow.
+    Of values that collide the least keeps its surrogate, all others try again: a name with given names with other
+    ones, a name without any with another family name, in which all names of the family follow.
     """
     parts = F.split("value", " ")
-    short = (F.col("kind") == "name") & (F.size(parts) < 3)
+    short = (F.col("kind") == "name") & F.col("value").rlike(f"^{_RUN_OF_TITLES}(?:{_INITIAL} ){{0,3}}{_FAMILY_NAME}$")
     family = Window.partitionBy("kind", F.when(F.col("kind") == "name", F.element_at(parts, -1)).otherwise(F.col("value")))
     state = cut(values.withColumn("attempt", F.lit(0)), "entities")
     originals = state.select("kind", F.col("value").alias("surrogate"))
@@ -219,18 +265,14 @@ def settle(values: DataFrame, key: str, rounds: int = 12) -> DataFrame:
 
 
 #: A name in bare words, as a text that has it with a title mentions it again.
-_BARE_BEFORE, _BARE_AFTER = r"(?<![\p{L}])(?:", r")(?![\p{L}'’-])"
-
-
-def _untitled(name: Column) -> Column:
-    return F.substring(name, F.locate(" ", name) + 1, F.length(name))
+_BARE_BEFORE, _BARE_AFTER = r"(?<![\p{L}])(?:", r")(?!\p{L}|['’-](?!s(?!\p{L}))\p{L})"
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_entities, entities, text`` per input row: the whole text with surrogates for its entities.
 
-    ``entities`` lists (kind, surrogate) in the order of the text. A name that a text has with a title is also replaced where the text has it bare, in full or by
-    its family name; other bare names are no entities. Null texts stay null and empty ones empty, with no entities;
+    ``entities`` lists (kind, surrogate) in the order of the text. A name stands behind one to four titles and has up to four names, initials and particles. One that a
+    text has with a title is also replaced where the text has it bare: in full, by its first and family name, or by its family name; other bare names are no entities. Null texts stay null and empty ones empty, with no entities;
     ids may be null or repeat. The key must be kept secret; with the same key reruns agree.
     """
     settled = settle(entities(docs, text_col), key)
@@ -252,11 +294,10 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     first = F.transform("first_found", lambda v: _let(stand_in(v), lambda s: F.struct(v.alias("value"), s["kind"].alias("kind"), s["surrogate"].alias("surrogate"))))
     rows = rows.select("doc_id", "text", F.explode(F.array(F.when(F.size("first_found") > 0, first).otherwise(F.array().cast(none)))).alias("first"))
     titled = F.filter("first", lambda e: e["kind"] == "name")
-    last = lambda c: F.element_at(F.split(c, " "), -1)
-    pair = lambda e: F.array(*[F.struct(f(e["value"]).alias("value"), e["kind"].alias("kind"), f(e["surrogate"]).alias("surrogate")) for f in (_untitled, last)])
+    pair = lambda e: F.array(*[F.struct(f(e["value"]).alias("value"), e["kind"].alias("kind"), f(e["surrogate"]).alias("surrogate")) for f in (_untitled, _short, _last)])
     rows = rows.withColumn("bare", F.explode(F.array(F.array_distinct(F.flatten(F.transform(titled, pair))))))
     longest_first = F.transform(F.sort_array(F.transform(F.array_distinct(F.col("bare.value")), lambda b: F.struct((-F.length(b)).alias("n"), b.alias("b")))), lambda x: x["b"])
-    pattern = F.when(F.size("bare") > 0, F.concat(F.lit(f"{ENTITY}|{_BARE_BEFORE}"), F.array_join(longest_first, "|"), F.lit(_BARE_AFTER)))
+    pattern = F.when(F.size("bare") > 0, F.concat(F.lit(f"{ENTITY}|{_BARE_BEFORE}"), F.replace(F.array_join(longest_first, "|"), F.lit("."), F.lit("\\.")), F.lit(_BARE_AFTER)))
     rows = rows.withColumn("pattern", F.explode(F.array(pattern)))
 
     by_pattern = lambda known, of_row: F.when(F.col("pattern").isNotNull(), of_row).otherwise(known)

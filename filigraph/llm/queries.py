@@ -36,8 +36,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.synthetic_findings(spark))
-    return secrets.scan(documents(spark, sf_dir), model, path_col="source")
+    words = secrets.frequent_words(documents(spark, sf_dir))
+    model = secrets.train(secrets.synthetic_findings(spark), words=words)
+    return secrets.scan(documents(spark, sf_dir), model, path_col="source", words=words)
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ DataFrame expressions and the DataFrame-based machine learning library, without
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,12 +18,15 @@ from pyspark.sql import functions as F
 
 from filigraph.llm.shared import cut, text_or_empty
 
-#: The head of a private key, a run of 16 or more characters that keys are written in with its padding, or a shorter
-#: value (6 characters or more, any signs) that something called a password, secret, token or key is set to.
-HEAD = r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----"
+#: A private key from its first line to its last (the first line alone where no last one follows), a run of 16 or more characters that keys are written in with its
+#: padding, or a shorter value (6 characters or more) that something called a password, secret, token or key is set to: in quotes any signs up to the closing
+#: one, else up to a blank, a quote, a comma, a semicolon or a bracket. No candidate has a greatest length.
+HEAD = r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----)?+"
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+(?![A-Za-z0-9])"
-SET_TO = r"(?<=[=:\"' ])(?<=[=:] {0,2}[\"']?)(?<=(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)[\"']? {0,2}[=:] {0,2}[\"']?)(?![=:\"'\s])[^\s\"'<>,;(){}\[\]]{6,64}+"
-CANDIDATE = f"{HEAD}|{RUN}|{SET_TO}"
+_NAMED = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY)[\"']? {0,2}[=:] {0,2}"
+QUOTED = "|".join(rf"(?<={q})(?<=[=:] {{0,2}}{q})(?<={_NAMED}{q})[^\s{q}]{{6,}}+(?={q})" for q in "\"'")
+SET_TO = rf"(?<=[=:\"' ])(?<=[=:] {{0,2}}[\"']?)(?<={_NAMED}[\"']?)(?![=:\"'\s])[^\s\"'<>,;(){{}}\[\]]{{6,}}+"
+CANDIDATE = f"{HEAD}|{QUOTED}|{RUN}|{SET_TO}"
 #: A text around a candidate of 6 characters or more spans at most so many others before it and after it.
 _BEFORE, _AFTER, _BACK, _ON = 48, 24, 7, 4
 #: Words that a made-up key or a plain identifier is built from.
@@ -42,6 +47,27 @@ SIDE_PATHS = r"(?i)(test|example|fixture|sample|doc|mock|vendor|readme)"
 SETTING_PATHS = r"(?i)(\.env|config|settings|credential|secret|deploy|\.(ya?ml|toml|ini|properties|pem|tfvars)$)"
 
 
+#: At most so many of a corpus's own words join the dictionary.
+CORPUS_WORDS = 2000
+
+
+def frequent_words(docs: DataFrame, most: int = CORPUS_WORDS, text_col: str = "text") -> list[str]:
+    """The ``most`` words of 4 to 12 letters a-z that the most documents have, by all whole texts."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(text_col)), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0)))).alias("word")
+    counts = docs.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern of the longest of some words at a place: alternatives share their beginnings, so a place is left after a few letters."""
+    by_letter: dict[str, set[str]] = {}
+    for word in words:
+        by_letter.setdefault(word[:1], set()).add(word[1:])
+    ends = "?" if by_letter.pop("", None) else ""
+    inner = "|".join(c + (_any_of(rest) if rest != {""} else "") for c, rest in sorted(by_letter.items()))
+    return f"(?:{inner}){ends}" if inner else ""
+
+
 def _share(pattern: str) -> Column:
     return (F.col("length") - F.length(F.regexp_replace("candidate", pattern, ""))) / F.col("length")
 
@@ -56,8 +82,8 @@ def _flag(column: str, pattern: str) -> Column:
     return F.col(column).rlike(pattern).cast("double")
 
 
-def features(findings: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Adds the forest's inputs to ``candidate, before, after, path``; returns their names as well."""
+def features(findings: DataFrame, words: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Adds the forest's inputs to ``candidate, before, after, path``; returns their names as well. ``words`` join the dictionary."""
     found = {
         "f_digits": _share("[0-9]"),
         "f_upper": _share("[A-Z]"),
@@ -71,7 +97,7 @@ def features(findings: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_upper_lower": _transitions("A-Z", "a-z"),
         "f_vowel_turns": _transitions("aeiouAEIOU", "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ"),
         "f_distinct": F.size(F.array_distinct(F.split("candidate", ""))) / F.least(F.col("length"), F.lit(36)),
-        "f_dictionary": _share("(?i)(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"),
+        "f_dictionary": _share("(?i)" + _any_of({*DICTIONARY, *words})),
         "f_uuid": _flag("candidate", "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"),
         "f_prefix": _flag("candidate", PREFIXES),
         "f_keyword": _flag("before", KEYWORDS),
@@ -169,7 +195,8 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
         .when(k == 16, F.concat(F.initcap(word("p1", 2, 6)), one_of("sign1", "!", "#", "$9", "7", "@2", "_x4"), F.substring("mixed", 1, 4), one_of("sign2", "", "?", "%", "+1")))
         .when(k == 17, one_of("plain", "required", "optional", "string", "changeme", "undefined", "incorrect", "something", "nothing.", "forgotten", "process.env.TOKEN", "os.environ", "********", "${TOKEN}", "%(secret)s", "<hidden>"))
         .when(k == 18, F.concat(word("v1", 6, 12), one_of("v2", "", ".", "!")))
-        .otherwise(one_of("pem", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"))
+        .otherwise(_let(one_of("pem", "PRIVATE", "RSA PRIVATE", "EC PRIVATE", "OPENSSH PRIVATE"), lambda n: F.concat(
+            F.lit("-----BEGIN "), n, F.lit(" KEY-----"), F.when(pick("whole", 2) == 0, F.concat(F.lit("\n"), "mixed", F.lit("\n"), F.reverse("mixed"), F.lit("=\n-----END "), n, F.lit(" KEY-----"))).otherwise(""))))
     )
     sure = (F.col("kind") <= 5) | F.col("kind").isin(16, 19)
     before = (
@@ -189,28 +216,28 @@ def synthetic_findings(spark: SparkSession, rows: int = 8000, seed: int = 7) ->
     )
 
 
-def train(findings: DataFrame, trees: int = 40, depth: int = 9, seed: int = 7, max_rows: int = 100_000) -> PipelineModel:
-    """A forest of labelled findings; of more than ``max_rows`` the first by a hash of the candidate are taken."""
+def train(findings: DataFrame, trees: int = 40, depth: int = 9, seed: int = 7, max_rows: int = 100_000, words: Iterable[str] = ()) -> PipelineModel:
+    """A forest of labelled findings; of more than ``max_rows`` the first by a hash of the candidate are taken. ``words`` (:func:`frequent_words`) join the dictionary, and must when it judges."""
     taken = findings.orderBy(F.xxhash64("candidate"), "candidate").limit(max_rows)
-    rows, names = features(cut(taken, "findings"))
+    rows, names = features(cut(taken, "findings"), words)
     stages = [VectorAssembler(inputCols=names, outputCol="inputs"), RandomForestClassifier(featuresCol="inputs", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)]
     return Pipeline(stages=stages).fit(rows.fillna(0.0, names))
 
 
-def judge(findings: DataFrame, model: PipelineModel) -> DataFrame:
+def judge(findings: DataFrame, model: PipelineModel, words: Iterable[str] = ()) -> DataFrame:
     """Adds ``probability`` (of being a secret) to findings."""
-    rows, names = features(findings)
+    rows, names = features(findings, words)
     scored = model.transform(rows.fillna(0.0, names))
     return scored.withColumn("probability", vector_to_array("probability")[1]).select(*findings.columns, "probability")
 
 
-def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5, path_col: str | None = None, keep_rejected: bool = False, **columns: str) -> DataFrame:
+def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5, path_col: str | None = None, keep_rejected: bool = False, words: Iterable[str] = (), **columns: str) -> DataFrame:
     """``doc_id, start, length, secret_sha256, probability, is_secret`` per finding; the secret itself stays out.
 
     Only findings of ``threshold`` or more are returned, or all with ``keep_rejected``. Documents
     without findings have no rows; rows that repeat have their own findings; ids may be null.
     """
-    found = judge(candidates(docs, path_col=path_col, **columns), model)
+    found = judge(candidates(docs, path_col=path_col, **columns), model, words)
     out = found.select(
         "doc_id", F.col("start").cast("long").alias("start"), F.length("candidate").cast("long").alias("length"),
         F.sha2("candidate", 256).alias("secret_sha256"), "probability", (F.col("probability") >= threshold).alias("is_secret"),
