@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from filigraph.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from filigraph.llm.shared import cut, documents
+from filigraph.llm.shared import cut, discard, documents
 from filigraph.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -59,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next stage."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        kept = cut(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        discard(docs)  # the table of the stage before, once it is read
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -135,6 +135,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), digest, F.octet_length(text).cast("long").alias("n_bytes")), "digests")
     digests = cut(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "distinct_digests")
     texts = texts_of_misses(docs.select(digest, text.alias("text")), digests, stored_counts(spark, cache_path, tokenizer))
+    cores = spark.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) < cores:  # a file for each split that had rows: fewer of them than cores, so texts are dealt out
+        texts = texts.repartition(2 * cores)
     encode_misses(texts, tokenizer_path).write.mode("append").parquet(f"{cache_path}/tokenizer={tokenizer}")
     counted = look_up(rows, cut(digests.join(stored_counts(spark, cache_path, tokenizer), "digest"), "counts"), "digest")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
