@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from filigraph.plans import graph_queries, index_queries, io_queries, queries
+from filigraph.plans import graph_queries, index_queries, io_queries, more_queries, queries
 from tests.oracle import assert_same
 
-SPECS = queries.SPECS | io_queries.SPECS | graph_queries.SPECS | index_queries.SPECS
+SPECS = queries.SPECS | io_queries.SPECS | graph_queries.SPECS | index_queries.SPECS | more_queries.SPECS
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in SPECS.items() if sql])
