@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from filigraph.plans import more_queries
+from filigraph.plans import more_queries, queries
 from tests.oracle import TABLES, assert_same
 
 CUTS = ["&a", "&am", "&amp", "&amp;", "&quo", "&quot", "&copy", "&amp;amp", "&amp;&amp", "&eacute", "", None]
@@ -27,3 +27,7 @@ def cut_pages(tmp_path_factory, sf):
 
 def test_incremental_sections(spark, cut_pages):
     assert_same(more_queries.incremental_sections(spark, cut_pages), more_queries.INCREMENTAL_SQL, cut_pages)
+
+
+def test_page_section(spark, cut_pages):
+    assert_same(queries.page_section(spark, cut_pages), queries.PAGE_SECTION_SQL, cut_pages)
