@@ -5,7 +5,9 @@ import os
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from filigraph.functions import text as tx
 from filigraph.plans import more_queries, queries
 from tests.oracle import TABLES, assert_same
 
@@ -31,3 +33,13 @@ def test_incremental_sections(spark, cut_pages):
 
 def test_page_section(spark, cut_pages):
     assert_same(queries.page_section(spark, cut_pages), queries.PAGE_SECTION_SQL, cut_pages)
+
+
+def test_page_text(spark, cut_pages):
+    assert_same(queries.page_text(spark, cut_pages), queries.PAGE_TEXT_SQL, cut_pages)
+
+
+def test_names_without_semicolon(spark):
+    """Decoded or left, as asked; numbers are decoded either way."""
+    row = spark.createDataFrame([("&copy 2 &ampx &#65 &eacute; &notit; &amp;amp",)], "v string").select(tx.decode_entities(F.col("v")).alias("r"), tx.decode_entities(F.col("v"), bare=False).alias("left")).first()
+    assert row["r"] == "\u00a9 2 &x A \u00e9 \u00acit; &amp" and row["left"] == "&copy 2 &ampx A \u00e9 &notit; &amp"
